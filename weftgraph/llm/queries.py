@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftgraph.llm import chat, quality, url_rules
+from weftgraph.llm import chat, langid, quality, url_rules
 from weftgraph.llm.store import durable
 
 
@@ -14,6 +14,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = durable(quality.text_stats(_table(spark, sf_dir, "documents")), "quality-stats")
     judged = quality.judge(stats, quality.learn_from(stats, _table(spark, sf_dir, "labels")))
@@ -47,6 +57,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language_id": op3_language_id,
         "op4_quality_rules": op4_quality_rules,
         "op5_chat_format": op5_chat_format,
         "op9_url_filter": op9_url_filter,

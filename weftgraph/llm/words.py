@@ -7,6 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 SLICE_BYTES = 3_000_000
@@ -29,7 +30,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             continue
         text = batch.column(batch.schema.get_field_index(column))
         sizes = np.zeros(batch.num_rows, np.int64)
-        lengths = pa.compute.fill_null(pa.compute.binary_length(text), 0)
+        lengths = pc.fill_null(pc.binary_length(text), 0)
         sizes[:] = np.asarray(lengths)
         ends, start, run = np.cumsum(sizes), 0, 0
         while start < batch.num_rows:
