@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftgraph.llm import chat, langid, minhash, quality, substring, url_rules
+from weftgraph.llm import chat, langid, minhash, mixing, quality, substring, tiling, url_rules
 from weftgraph.llm.store import durable
 
 
@@ -59,6 +59,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -70,6 +78,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_quality_rules": op4_quality_rules,
         "op5_chat_format": op5_chat_format,
+        "op6_source_mix": op6_source_mix,
+        "op7_decontaminate": op7_decontaminate,
         "op9_url_filter": op9_url_filter,
     }
 
