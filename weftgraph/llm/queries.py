@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftgraph.llm import chat, langid, minhash, mixing, quality, substring, tiling, url_rules
+from weftgraph.llm import chat, langid, minhash, mixing, quality, substring, tiling, tokenbin, url_rules
 from weftgraph.llm.store import durable
 
 
@@ -67,6 +67,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.tokenize(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat_format": op5_chat_format,
         "op6_source_mix": op6_source_mix,
         "op7_decontaminate": op7_decontaminate,
+        "op8_token_shards": op8_token_shards,
         "op9_url_filter": op9_url_filter,
     }
 
