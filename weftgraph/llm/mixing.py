@@ -124,3 +124,15 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, sha
     return joined.select(
         "doc_id", *AXES, "n_tokens", "cell_weight", "probability", (draw(F.col("doc_id")) < F.coalesce("probability", F.lit(0.0))).alias("sampled")
     )
+
+
+def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = SHARE_KEPT) -> DataFrame:
+    """The sampled rows with their own columns alone; no row is moved."""
+    fitted = fit(cells_of(docs), targets, share)
+    none, own = F.lit("(none)"), docs.columns
+    row = F.struct(*own).alias("row")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(row, F.coalesce("source", none).alias("source"), F.coalesce("lang", none).alias("lang"), text.alias("t"))
+    keyed = keyed.withColumn("topic", topic(F.col("t"), n_tokens(F.col("t")))).drop("t")
+    drawn = keyed.join(F.broadcast(fitted), list(AXES)).filter(draw(F.col("row.doc_id")) < F.col("probability"))
+    return drawn.select("row.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftgraph.llm import chat, langid, minhash, mixing, quality, substring, tiling, tokenbin, url_rules
+from weftgraph.llm import chat, langid, minhash, mixing, quality, substring, tiling, tokenbin, toxicity, url_rules
 from weftgraph.llm.store import durable
 
 
@@ -75,6 +75,16 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -86,6 +96,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontaminate": op7_decontaminate,
         "op8_token_shards": op8_token_shards,
         "op9_url_filter": op9_url_filter,
+        "op10_toxicity": op10_toxicity,
+        "pipeline": pipeline,
     }
 
 
