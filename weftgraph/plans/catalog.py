@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from weftgraph.plans import graph_queries
+
+_PARTS = (graph_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
