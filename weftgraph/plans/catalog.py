@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from weftgraph.plans import graph_queries
+from weftgraph.plans import graph_queries, page_oracles, page_queries
 
-_PARTS = (graph_queries,)
+_PARTS = ((graph_queries.QUERIES, graph_queries.ORACLES), (page_queries.QUERIES, page_oracles.ORACLES))
 
 
 def queries() -> dict:
-    return {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+    return {name: query for found, _ in _PARTS for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
+    return {name: sql for _, found in _PARTS for name, sql in found.items()}
