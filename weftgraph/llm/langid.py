@@ -31,7 +31,7 @@ from weftgraph.llm.words import slices
 
 FOLDS, HELD_OUT = 4, 2
 LONGEST_FIT = 32  # words are cut at this length for fitting only, to keep the sums within range
-CACHE = 150_000
+CACHE = 700_000
 FLUSH = 300_000
 _letter = re.compile(r"[^\W\d_]")
 _edge = " \t.,;:!?\"'()[]{}<>|*#%&$-_=+/\\"
@@ -235,26 +235,44 @@ def train(docs: DataFrame, path: str, steps: int = 2, smooth: float = 0.05) -> M
     return Model(langs, p, np.log(n / n.sum()), path)
 
 
-_seen: dict[str, int] = {}
-_sums: np.ndarray | None = None
-_owner = ""
+class _Sums:
+    """A worker's memory of the sums of tokens; one model's at a time."""
 
+    def __init__(self, tag: str, width: int):
+        self.tag, self.rows, self.used = tag, {}, 0
+        self.table = np.zeros((0, width))
 
-def _word_rows(words: list[str], v: Vocabulary, p: np.ndarray, model: str) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the returned table that hold the words' sums. Words of one call fit the cache or widen it."""
-    global _sums, _owner
-    if _owner != model:
-        _sums, _owner = None, model
-        _seen.clear()
-    fresh = [w for w in set(words) if w not in _seen]
-    if _sums is None or len(_seen) + len(fresh) > CACHE:
-        _seen.clear()
-        fresh, _sums = list(set(words)), np.zeros((0, p.shape[1]))
-    if fresh:
-        new = log_sums(fresh, v, p)
-        _seen.update(zip(fresh, range(len(_sums), len(_sums) + len(fresh)), strict=True))
-        _sums = np.concatenate([_sums, new])
-    return np.fromiter(map(_seen.__getitem__, words), np.int64, len(words)), _sums
+    def of(self, tokens: list[str], v: Vocabulary, p: np.ndarray) -> np.ndarray:
+        """A row for each token: its word's sums, and 1 if it has a letter; zeros where it has none."""
+        fresh = list(set(tokens) - self.rows.keys())
+        if self.used + len(fresh) > CACHE and self.used:
+            self.rows.clear()
+            self.used, fresh = 0, list(set(tokens))
+        if self.used + len(fresh) > len(self.table):
+            wider = np.zeros((min(max(CACHE, len(fresh)), 2 * (self.used + len(fresh)) + 1000), p.shape[1] + 1))
+            wider[: self.used] = self.table[: self.used]
+            self.table = wider
+        if fresh:
+            words = [w.strip(_edge) for w in fresh]
+            lettered = [bool(_letter.search(w)) for w in words]
+            some = np.flatnonzero(lettered)
+            at = self.used
+            self.table[at : at + len(fresh)] = 0
+            self.table[at + some, :-1] = log_sums([words[k] for k in some], v, p)
+            self.table[at + some, -1] = 1
+            self.rows.update(zip(fresh, range(at, at + len(fresh)), strict=True))
+            self.used += len(fresh)
+        return self.table[np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens))]
+
+
+_held: dict[str, _Sums] = {}
+
+
+def _sums(tag: str, width: int) -> _Sums:
+    if tag not in _held:
+        _held.clear()
+        _held[tag] = _Sums(tag, width)
+    return _held[tag]
 
 
 def predict(docs: DataFrame, model: Model, keep: str = "") -> DataFrame:
@@ -267,18 +285,19 @@ def predict(docs: DataFrame, model: Model, keep: str = "") -> DataFrame:
         langs, p, prior = sent.value
         v = Vocabulary.at(path)
         for part in slices(batches, "text"):
-            words = [[w for w in words_of(t) if _letter.search(w)] for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+            words = [t.lower().split() if t else [] for t in part.column(part.schema.get_field_index("text")).to_pylist()]
             flat = list(chain.from_iterable(words))
             starts = np.cumsum([0, *map(len, words)])
             best, score = [None] * len(words), np.zeros(len(words))
             if langs and flat:
-                rows, sums = _word_rows(flat, v, p, tag)
-                total = np.concatenate([np.zeros((1, len(langs))), np.cumsum(sums[rows], axis=0)])
-                ll = total[starts[1:]] - total[starts[:-1]] + prior
+                total = np.cumsum(_sums(tag, len(langs) + 1).of(flat, v, p), axis=0)
+                total = np.concatenate([np.zeros((1, len(langs) + 1)), total])
+                ll = total[starts[1:]] - total[starts[:-1]]
+                some = ll[:, -1] > 0.5
+                ll = ll[:, :-1] + prior
                 ll -= ll.max(axis=1, keepdims=True)
                 post = np.exp(ll) / np.exp(ll).sum(axis=1, keepdims=True)
                 top = post.argmax(axis=1)
-                some = np.diff(starts) > 0
                 score = np.where(some, post[np.arange(len(words)), top], 0.0)
                 best = [langs[k] if s else None for k, s in zip(top, some, strict=True)]
             out = [part.column(part.schema.get_field_index("doc_id")), pa.array([b or "und" for b in best], pa.string()), pa.array(score, pa.float64())]
