@@ -21,8 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language. The model learns from those that are not in its held-out fold."""
     ship(spark)
     model = langid.train(docs.filter(langid.fold() != langid.HELD_OUT), tokenizer_path("piece_bpe_32k.model"))
-    judged = langid.predict(docs, model, ", ".join(f"{name} {kind}" for name, kind in docs.dtypes if name != "doc_id"))
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    return langid.accepted(docs, model, LEAST_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -275,37 +275,51 @@ def _sums(tag: str, width: int) -> _Sums:
     return _held[tag]
 
 
-def predict(docs: DataFrame, model: Model, keep: str = "") -> DataFrame:
-    """doc_id, lang_pred, score for every row of docs(doc_id, text); keep: DDL of further columns to carry along."""
+def _judge(texts: list[str | None], held: tuple, path: str, tag: str) -> tuple[list[str], np.ndarray]:
+    """The best language of each text and its posterior."""
+    langs, p, prior = held
+    words = [t.lower().split() if t else [] for t in texts]
+    flat, starts = list(chain.from_iterable(words)), np.cumsum([0, *map(len, words)])
+    best, score = ["und"] * len(words), np.zeros(len(words))
+    if langs and flat:
+        total = np.cumsum(_sums(tag, len(langs) + 1).of(flat, Vocabulary.at(path), p), axis=0)
+        total = np.concatenate([np.zeros((1, len(langs) + 1)), total])
+        ll = total[starts[1:]] - total[starts[:-1]]
+        some = ll[:, -1] > 0.5
+        ll = ll[:, :-1] + prior
+        ll -= ll.max(axis=1, keepdims=True)
+        post = np.exp(ll) / np.exp(ll).sum(axis=1, keepdims=True)
+        top = post.argmax(axis=1)
+        score = np.where(some, post[np.arange(len(words)), top], 0.0)
+        best = [langs[k] if s else "und" for k, s in zip(top, some, strict=True)]
+    return best, score
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred, score for every row of docs(doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.p, model.prior))
     path, tag = model.path, uuid.uuid4().hex
-    columns = [x.split()[0] for x in keep.split(", ")] if keep else []
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, p, prior = sent.value
-        v = Vocabulary.at(path)
         for part in slices(batches, "text"):
-            words = [t.lower().split() if t else [] for t in part.column(part.schema.get_field_index("text")).to_pylist()]
-            flat = list(chain.from_iterable(words))
-            starts = np.cumsum([0, *map(len, words)])
-            best, score = [None] * len(words), np.zeros(len(words))
-            if langs and flat:
-                total = np.cumsum(_sums(tag, len(langs) + 1).of(flat, v, p), axis=0)
-                total = np.concatenate([np.zeros((1, len(langs) + 1)), total])
-                ll = total[starts[1:]] - total[starts[:-1]]
-                some = ll[:, -1] > 0.5
-                ll = ll[:, :-1] + prior
-                ll -= ll.max(axis=1, keepdims=True)
-                post = np.exp(ll) / np.exp(ll).sum(axis=1, keepdims=True)
-                top = post.argmax(axis=1)
-                score = np.where(some, post[np.arange(len(words)), top], 0.0)
-                best = [langs[k] if s else None for k, s in zip(top, some, strict=True)]
-            out = [part.column(part.schema.get_field_index("doc_id")), pa.array([b or "und" for b in best], pa.string()), pa.array(score, pa.float64())]
-            yield pa.record_batch(out + [part.column(part.schema.get_field_index(c)) for c in columns], names=["doc_id", "lang_pred", "score", *columns])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    need = list(dict.fromkeys(["doc_id", "text", *columns]))
-    return docs.select(*need).mapInArrow(score, f"doc_id {kind}, lang_pred string, score double" + (f", {keep}" if keep else ""))
+            best, posterior = _judge(part.column(1).to_pylist(), sent.value, path, tag)
+            yield pa.record_batch([part.column(0), pa.array(best, pa.string()), pa.array(posterior, pa.float64())], names=["doc_id", "lang_pred", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows whose language is recognised with that posterior at least, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.p, model.prior))
+    path, tag = model.path, uuid.uuid4().hex
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            texts = part.column(part.schema.get_field_index("text")).to_pylist()
+            best, posterior = _judge(texts, sent.value, path, tag)
+            yield part.filter(pa.array([b != "und" and s >= least for b, s in zip(best, posterior.tolist(), strict=True)]))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def identify(docs: DataFrame, path: str) -> DataFrame:

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weftgraph.llm.store import durable
+
 SPACE = r"[\x20\x09-\x0D]"
 CUTS = 5
 FEATURES = ("symbol_share", "capital_share", "repeat_share", "dup_line_share", "word_length")
@@ -41,7 +43,10 @@ Rule = tuple[Condition, ...]
 
 
 def text_stats(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts of the base rule, and the shares that the learned list looks at."""
+    """doc_id, the counts of the base rule, and the shares that the learned list looks at, as a written table.
+
+    Written, because a filter on a count would otherwise be pushed below and evaluate the arrays again for each word.
+    """
     text = F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
@@ -75,7 +80,7 @@ def text_stats(docs: DataFrame) -> DataFrame:
         F.size("l").alias("n_lines"),
     )
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    return counted.select(
+    shares = counted.select(
         "*",
         share("n_symbols", "n_words").alias("symbol_share"),
         share("n_capitals", "word_chars").alias("capital_share"),
@@ -83,6 +88,7 @@ def text_stats(docs: DataFrame) -> DataFrame:
         share("n_dup_lines", "n_lines").alias("dup_line_share"),
         share("word_chars", "n_words").alias("word_length"),
     )
+    return durable(shares, "quality-stats")
 
 
 def base_failed() -> Column:

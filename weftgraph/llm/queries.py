@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftgraph.llm import chat, langid, minhash, mixing, quality, substring, tiling, tokenbin, toxicity, url_rules
-from weftgraph.llm.store import durable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +32,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = durable(quality.text_stats(_table(spark, sf_dir, "documents")), "quality-stats")
+    stats = quality.text_stats(_table(spark, sf_dir, "documents"))
     judged = quality.judge(stats, quality.learn_from(stats, _table(spark, sf_dir, "labels")))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule"

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm.langid import fold
+from weftgraph.llm.minhash import shingle_sets
 from weftgraph.llm.store import durable
 from weftgraph.llm.words import slices
 
@@ -220,11 +221,15 @@ def learn(docs: DataFrame, labels: DataFrame, logs: np.ndarray) -> dict[int, flo
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(tag, sent.value, None)
         for part in slices(batches, "text"):
-            found = [sorted(reader.features(t)) for t in part.column(1).to_pylist()]
-            yield pa.record_batch([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["toxic", "features"])
-
-    rows = docs.join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
-    read_rows = durable(rows.mapInArrow(read, "toxic int, features array<long>"), "toxicity-features")
+            texts = part.column(1).to_pylist()
+            found = [sorted(reader.features(t)) for t in texts]
+            shingles, starts = shingle_sets(texts)
+            # the least of a text's shingles, which near copies share as a rule and other texts do not
+            group = np.array([shingles[a] if b > a else 0 for a, b in zip(starts[:-1], starts[1:], strict=True)], np.uint64)
+            yield pa.record_batch([part.column(0), pa.array(group.view(np.int64)), pa.array(found, pa.list_(pa.int64()))], names=["toxic", "group", "features"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
+    read_rows = durable(rows.mapInArrow(read, "toxic int, group long, features array<long>"), "toxicity-features")
     n = {r["toxic"]: r["count"] for r in read_rows.groupBy("toxic").count().collect()}
     if not n.get(1):
         return {}
@@ -234,9 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame, logs: np.ndarray) -> dict[int, flo
     best = good.orderBy(F.desc("a"), "n", "f").limit(CANDIDATES).collect()
     counts = {r["f"]: (r["a"], r["n"] - r["a"]) for r in best}
     wanted = docs.sparkSession.createDataFrame([(list(counts),)], "wanted array<long>")
-    held = read_rows.filter("toxic = 1 and size(features) > 0").crossJoin(F.broadcast(wanted))
-    # the least feature of a row is a minimum of hashes: near copies share it
-    held = held.select(F.element_at("features", 1).alias("group"), F.array_intersect("features", "wanted").alias("f"))
+    held = read_rows.filter("toxic = 1").crossJoin(F.broadcast(wanted)).select("group", F.array_intersect("features", "wanted").alias("f"))
     return cover([(r["group"], set(r["f"])) for r in held.toLocalIterator()], counts)
 
 
