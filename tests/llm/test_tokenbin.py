@@ -30,7 +30,7 @@ def test_shard_round_trip_and_random_access():
     assert all(ids == d.tobytes() for (_, ids), d in zip(shard.all_documents(), docs))
     assert all((shard.document(k) == d).all() for k, d in enumerate(docs))
     assert len(shard.rules) and len(shard.symbols) < sum(map(len, docs))
-    assert shard.first[6] - shard.first[5] < 10  # 999 equal ids
+    assert shard.first[6] - shard.first[5] < 20  # 999 equal ids
     assert (shard.sizes == tokenbin.lengths_of(shard.rules, 1000)).all()
 
 
