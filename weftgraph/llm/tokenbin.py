@@ -282,7 +282,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = END) ->
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranged = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")  # the ranges' sample holds ids alone
     shards = ranged.mapInArrow(encode, "part int, shard int, offset long, n_ids long, payload binary")
     shards.write.option("compression", "none").parquet(path)
 
