@@ -161,7 +161,7 @@ class Reader:
             self.known.clear()
         tokens = set(low.split())
         tokens.update(_spaced.findall(low))
-        for fresh in tokens - self.known.keys():
+        for fresh in [t for t in tokens if t not in self.known]:
             self.known[fresh] = self._token(fresh)
         for found in map(self.known.__getitem__, tokens):
             if found:
