@@ -244,7 +244,7 @@ class _Sums:
 
     def of(self, tokens: list[str], v: Vocabulary, p: np.ndarray) -> np.ndarray:
         """A row for each token: its word's sums, and 1 if it has a letter; zeros where it has none."""
-        fresh = list(set(tokens) - self.rows.keys())
+        fresh = [t for t in set(tokens) if t not in self.rows]
         if self.used + len(fresh) > CACHE and self.used:
             self.rows.clear()
             self.used, fresh = 0, list(set(tokens))
