@@ -77,9 +77,10 @@ class Encoder:
         for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
             out[k] = ids
         need = set().union(*(parts[1:] for parts in cut.values()))
-        if len(self.words) + len(need - self.words.keys()) > CACHE:
+        fresh = [w for w in need if w not in self.words]
+        if len(self.words) + len(fresh) > CACHE:
             self.words.clear()
-        fresh = list(need - self.words.keys())
+            fresh = list(need)
         self.words.update(zip(fresh, self._ids([f" {w}" for w in fresh]), strict=True))
         first = dict(zip(cut, self._ids([parts[0] for parts in cut.values()]), strict=True))
         get = self.words.__getitem__
