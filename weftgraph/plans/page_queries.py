@@ -157,9 +157,9 @@ def _lead_view(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tag = F.when(number == 1, F.concat("kind", F.lit("_123456"))).when(number == 2, F.concat(F.lit("NONE_"), "kind")).otherwise(F.col("kind"))
     page = F.concat(F.lit("https://s.example/"), F.length("kind") % 7)
     tags = counts.select(tag.alias("lead_tag"), "leads", page.alias("main_conversion_page"))
-    few = sold.filter("l_suppkey % 10 = l_linenumber").select(F.col("kind").alias("mc_id"), F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("https://s.example/"), F.col("l_suppkey") % 7).alias("url"), F.lit("").alias("href"), F.when(F.col("l_linenumber") > 3, "nav").otherwise("body").alias("region"))
+    links = sold.select(F.col("kind").alias("mc_id"), F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("https://s.example/"), F.col("l_suppkey") % 7).alias("url"), F.lit("").alias("href"), F.when(F.col("l_linenumber") > 3, "nav").otherwise("body").alias("region"))
     none = spark.createDataFrame([], "url string, final_url string")
-    return tags, durable(leads.tagged_links(few.distinct(), none), "lead-carriers")
+    return tags, durable(leads.tagged_links(links.distinct(), none), "lead-carriers")
 
 
 def lead_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
