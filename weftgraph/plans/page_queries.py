@@ -127,7 +127,9 @@ def bridge_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topic_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    fields = docs.select(F.col("doc_id").cast("string").alias("url"), F.substring("text", 1, 40).alias("title"), F.col("lang").alias("h1"), F.lit(None).cast("string").alias("breadcrumb"), F.substring_index("text", "\n", -1).alias("nav_label"), F.col("source").alias("url_path"))
+    title = F.substring_index("text", "\n", 1)
+    rest = F.substr("text", F.length(title) + 2)  # all lines but the first
+    fields = docs.select(F.col("doc_id").cast("string").alias("url"), title.alias("title"), F.col("lang").alias("h1"), F.lit(None).cast("string").alias("breadcrumb"), rest.alias("nav_label"), F.col("source").alias("url_path"))
     return entities.tag_topics(fields, TOPICS)
 
 
