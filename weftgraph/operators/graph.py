@@ -18,6 +18,8 @@ CHROME = ("nav", "header", "footer")
 ALL_LINKS, CONTENT_ONLY = "all_links", "content_only"
 #: Levels after which the tables of visited nodes are merged into one.
 MERGE_LEVELS = 8
+#: Blocks of starts, each two of which are compared by themselves.
+PAIR_BLOCKS = 16
 
 
 @dataclass(frozen=True)
@@ -239,12 +241,18 @@ def trap_loops(views: DataFrame, dead: DataFrame) -> DataFrame:
 
 
 def convergence(paths: DataFrame) -> DataFrame:
-    """(label, a, b, common, jaccard) of each two starts' paths(label, start, path); starts are a configured few."""
-    left = paths.select("label", F.col("start").alias("a"), F.col("path").alias("x"))
-    right = paths.select("label", F.col("start").alias("b"), F.col("path").alias("y"))
+    """(label, a, b, common, jaccard) of every two starts' paths(label, start, path), of those without a common node too.
+
+    The result grows with the square of the starts. They are dealt to PAIR_BLOCKS blocks and every two blocks are joined
+    apart, so that no task holds all pairs of a label.
+    """
+    own = F.pmod(F.xxhash64("start"), F.lit(PAIR_BLOCKS)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(PAIR_BLOCKS - 1)))
+    left = paths.select("label", F.col("start").alias("a"), F.col("path").alias("x"), own.alias("i"), each.alias("j"))
+    right = paths.select("label", F.col("start").alias("b"), F.col("path").alias("y"), each.alias("i"), own.alias("j"))
     common = F.array_intersect("x", "y")
     share = F.size(common) / F.size(F.array_union("x", "y"))
-    return left.join(right, "label").filter("a < b").select("label", "a", "b", F.array_sort(common).alias("common"), F.bround(share, 3).alias("jaccard"))
+    return left.join(right, ["label", "i", "j"]).filter("a < b").select("label", "a", "b", F.array_sort(common).alias("common"), F.bround(share, 3).alias("jaccard"))
 
 
 def in_degrees(graph: Graph) -> DataFrame:

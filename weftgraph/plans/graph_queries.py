@@ -90,7 +90,7 @@ def longest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_overlap_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = durable(_paths(spark, sf_dir), "paths").filter(F.col("start").rlike("^[0-9]:"))
+    paths = durable(_paths(spark, sf_dir), "paths")
     pairs = g.convergence(paths.filter(F.col("label") == g.ALL_LINKS))
     return pairs.select("a", "b", F.size("common").cast("long").alias("n_common"), "jaccard")
 
