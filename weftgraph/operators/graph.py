@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weftgraph.storage import durable
 
@@ -155,8 +155,9 @@ def longest_paths(edges: DataFrame, starts: DataFrame, dist: DataFrame, max_dept
     """(label, start, path, exhaustive): the longest path without repetition that ends at its first win.
 
     dist(label, node, d) are the distances to a win, 0 for wins; steps that cannot reach one within max_depth clicks are
-    not taken. Where a level holds more than row_budget paths, the first of them in order go on and the label's results
-    are marked as not exhaustive.
+    not taken. The budget is one for each label and start: where a level holds more than row_budget paths of a start, the
+    least of those that are on a shortest route and the first of the others in order go on, and that start's result, a lower
+    bound, is marked as not exhaustive. A start that has a path within max_depth has a row in any case.
     """
     dist = durable(dist.select("label", "node", "d"), "long-dist")
     edges = edges.select("label", F.col("src").alias("node"), "dst")
@@ -164,7 +165,8 @@ def longest_paths(edges: DataFrame, starts: DataFrame, dist: DataFrame, max_dept
     edges = durable(edges.join(ahead, ["label", "dst"]), "long-edges")  # only steps from which a win is in reach
     first = starts.select("label", "start", F.col("start").alias("node")).distinct().join(dist, ["label", "node"])
     front = durable(first.filter(F.col("d") <= max_depth).select("label", "start", "node", F.array("node").alias("path"), "d"), "long-level")
-    found, cut = [], None
+    found, cut = [], []
+    own = Window.partitionBy("label", "start")
     for clicks in range(max_depth + 1):
         ended = front.filter("d = 0").select("label", "start", "path")
         found.append(durable(ended.groupBy("label", "start").agg(F.min("path").alias("path")), "long-found"))
@@ -175,14 +177,20 @@ def longest_paths(edges: DataFrame, starts: DataFrame, dist: DataFrame, max_dept
         front = durable(step, "long-level")
         if front.isEmpty():
             break
-        if front.count() > row_budget:
-            cut = front.select("label").distinct() if cut is None else cut.unionByName(front.select("label")).distinct()
-            front = durable(front.orderBy("path").limit(row_budget), "long-level")
+        over = front.groupBy("label", "start").count().filter(F.col("count") > row_budget).select("label", "start")
+        over = durable(over, "long-over")
+        if not over.isEmpty():
+            cut.append(over)
+            dense = front.join(over, ["label", "start"], "left_semi").withColumn("least", F.min(F.struct("d", "path")).over(own))
+            rank = F.row_number().over(own.orderBy(F.col("path") != F.col("least.path"), "path"))
+            dense = dense.withColumn("rank", rank).filter(F.col("rank") <= row_budget).select(front.columns)
+            front = durable(front.join(over, ["label", "start"], "left_anti").select(front.columns).unionByName(dense), "long-level")
     best = reduce(DataFrame.unionByName, found).groupBy("label", "start")
     best = best.agg(F.min(F.struct((-F.size("path")).alias("n"), "path")).alias("m")).select("label", "start", F.col("m.path").alias("path"))
-    if cut is None:
+    if not cut:
         return best.withColumn("exhaustive", F.lit(True))
-    return best.join(cut.withColumn("cut", F.lit(True)), "label", "left").select("label", "start", "path", F.col("cut").isNull().alias("exhaustive"))
+    marked = reduce(DataFrame.unionByName, cut).distinct().withColumn("cut", F.lit(True))
+    return best.join(marked, ["label", "start"], "left").select("label", "start", "path", F.col("cut").isNull().alias("exhaustive"))
 
 
 def dead_zones(graph: Graph, views: DataFrame, dist: DataFrame, entries: DataFrame) -> DataFrame:
