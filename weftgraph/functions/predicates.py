@@ -86,14 +86,22 @@ class Win:
     def excluded(self, url: Column) -> Column:
         return self._any(url, self.exclude_patterns)
 
-    def known_type(self, url: Column) -> Column:
-        """The type of the known page that the URL is, after either normalization."""
+    def _known(self, url: Column, place: int) -> Column:
         found = F.lit(None).cast("string")
-        for page, kind in reversed(self.known_pages):
+        for known in reversed(self.known_pages):
+            page = known[0]
             same = (url == F.lit(urls.normal_url(page))) | (urls.conversion_url(url) == urls.conversion_url(F.lit(page)))
-            found = F.when(same, F.lit(kind)).otherwise(found)
+            found = F.when(same, F.lit(known[place])).otherwise(found)
         return found
 
+    def known_page(self, url: Column) -> Column:
+        """The known page that the URL is, after either normalization."""
+        return self._known(url, 0)
+
+    def known_type(self, url: Column) -> Column:
+        """The type of the known page that the URL is, after either normalization."""
+        return self._known(url, 1)
+
     def class_of(self, url: Column) -> Column:
         kinds = [F.when(anywhere([prefix_match(url, p) for p in c.patterns]), F.lit(c.name)) for c in self.classes]
         return F.when(~self.excluded(url), F.coalesce(*kinds)) if kinds else F.lit(None).cast("string")
