@@ -58,8 +58,11 @@ def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dead_and_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.element_at(F.array(*map(F.lit, (200, 404, 410, 403, 429, 200, 200))), (F.col("page_id") % 7 + 1).cast("int"))
-    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
-    return _read(spark, sf_dir, "pages").select("page_id", p.detect_dead(status, title, F.lit("")).alias("dead_reason"), p.detect_block(status, title, F.lit("")).alias("block_reason"))
+    pages = _read(spark, sf_dir, "pages")
+    found = html.extract_pages(pages.select(F.concat(F.coalesce("url", F.lit("")), F.lit("#"), "page_id").alias("url"), "html"))  # URLs repeat, page_ids do not
+    read = found.select(F.substring_index("url", "#", -1).cast(pages.schema["page_id"].dataType).alias("page_id"), "title", "body_text")
+    title, body = F.col("title"), F.col("body_text")
+    return read.select("page_id", p.detect_dead(status, title, body).alias("dead_reason"), p.detect_block(status, title, body).alias("block_reason"))
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
