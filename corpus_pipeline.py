@@ -6,7 +6,7 @@ and reads it as the next stage's docs. All stages but the last keep the columns
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from weftgraph.llm import langid, minhash, mixing, tiling, tokenbin
 from weftgraph.llm.queries import tokenizer_path
@@ -25,11 +25,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least doc_id; rows that repeat it stay out."""
+    """One row of each group of near copies, the one with the least doc_id. Rows are judged by their own text: of equal
+    doc_ids the least hash of doc_id and text stays, of equal texts under one doc_id the first row by the other columns.
+    Rows with a null doc_id or without words are kept."""
     ship(spark)
-    judged = minhash.near_duplicates(docs)
-    gone = judged.filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    named = docs.select(row.alias("row"), "doc_id", "text")
+    judged = minhash.near_duplicates(named.select(F.col("row").alias("doc_id"), "text")).filter("doc_id is not null and n_shingles > 0")
+    judged = judged.groupBy(F.col("doc_id").alias("row")).agg(F.first("component_id").alias("component"), F.count("*").alias("copies"))
+    ids = named.filter("row is not null").select("row", "doc_id").distinct()
+    judged = durable(judged.join(ids, "row"), "near-rows")
+    first = judged.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    gone = judged.join(first, "row", "left_anti").select("row")
+    kept = docs.withColumn("__row", row).join(gone.withColumnRenamed("row", "__row"), "__row", "left_anti")
+    repeated = judged.filter("copies > 1").join(first, "row", "left_semi").select(F.col("row").alias("__row"))
+    if repeated.isEmpty():
+        return kept.select(docs.columns)
+    order = Window.partitionBy("__row").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")), "text")
+    one = kept.join(repeated, "__row", "left_semi").withColumn("__n", F.row_number().over(order)).filter("__n = 1")
+    return kept.join(repeated, "__row", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
