@@ -2,7 +2,7 @@
 
 Documents are dealt to partitions by ranges of doc_id, encoded, and packed into shards of about SHARD_IDS ids. Each shard
 is compressed by Re-Pair: the most frequent pairs of neighbouring symbols are replaced by nonterminals, in rounds that
-take many pairs at once as long as no two of them can overlap. A document's end id is in no pair, so every document is a
+take many pairs at once as long as no two of them can overlap, until no pair is seen LEAST_COUNT times. A document's end id is in no pair, so every document is a
 slice of the compressed symbols. A shard's bytes, all little-endian, are
 
     magic `WRP1`; u32 first nonterminal, documents, rules, symbols; u8 bytes for each symbol
@@ -36,7 +36,6 @@ from weftgraph.llm.words import slices
 
 END = 2
 SHARD_IDS = 1_000_000
-ROUNDS = 12
 ROUND_PAIRS = 600
 LEAST_COUNT = 12
 CACHE = 300_000
@@ -97,13 +96,19 @@ def _choose(left: np.ndarray, right: np.ndarray, ok: np.ndarray) -> list[tuple[i
     often = np.flatnonzero(counts >= LEAST_COUNT)
     if not len(often):
         return []
+    code = (left[ok].astype(np.uint64) << np.uint64(32)) | right[ok].astype(np.uint64)
     if len(often) > 2 * ROUND_PAIRS:
-        often = often[np.argpartition(counts[often], -2 * ROUND_PAIRS)[-2 * ROUND_PAIRS :]]
+        most = often[np.argpartition(counts[often], -2 * ROUND_PAIRS)[-2 * ROUND_PAIRS :]]
+        if chosen := _disjoint(code, cell, most):
+            return chosen
+    return _disjoint(code, cell, often)  # the fullest cells may hold rare pairs alone
+
+
+def _disjoint(code: np.ndarray, cell: np.ndarray, often: np.ndarray) -> list[tuple[int, int]]:
+    """The most frequent pairs of the cells in often, of which no two can overlap; none if no pair is frequent."""
     wanted = np.zeros(_cells, bool)
     wanted[often] = True
-    sel = wanted[cell]
-    code = (left[ok][sel].astype(np.uint64) << np.uint64(32)) | right[ok][sel].astype(np.uint64)
-    pairs, n = np.unique(code, return_counts=True)
+    pairs, n = np.unique(code[wanted[cell]], return_counts=True)
     firsts: set[int] = set()
     seconds: set[int] = set()
     chosen = []
@@ -124,9 +129,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> tuple[np.ndarray
     seq, starts, rules = ids.astype(np.uint32), starts.astype(np.int64), []
     ends = np.zeros(len(seq), bool)
     ends[starts[1:] - 1] = True
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         left, right = seq[:-1], seq[1:]
         ok = ~(ends[:-1] | ends[1:])
         chosen = _choose(left, right, ok)
