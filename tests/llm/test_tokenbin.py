@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 from weftgraph.llm import tokenbin
 from weftgraph.llm.queries import tokenizer_path
 
-ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a   b", "a\n b", "a\n\n  b", "a\t \nb", "\n ", "x \n", " \n x", "don't we'll", "1 2  3", "é ü", "　a b", "日本 語", "\U0001f600 \U0001f600"]
+ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a   b", "a\n b", "a\n\n  b", "a\t \nb", "\n ", "x \n", " \n x", "don't we'll", "1 2  3", "é ü", "　a b", "日本 語", "\U0001f600 \U0001f600", "x <|endoftext|> y", "<|endoftext|>"]
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +46,12 @@ def test_table_against_brute_force(spark, docs, doc_rows, path, monkeypatch):
 
 def test_empty_table(no_docs, path):
     assert tokenbin.tokenize(no_docs, path).collect() == []
+
+
+def test_words_met_again_outlive_words_met_once(path, monkeypatch):
+    monkeypatch.setattr(tokenbin, "CACHE", 50)
+    plain, coder = Tokenizer.from_file(path), tokenbin.Encoder(path)
+    for k in range(12):
+        text = "always the same " + " ".join(f"once{k}x{i}" for i in range(40))
+        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert "same" in coder.young and len(coder.young) <= 100

@@ -1,9 +1,9 @@
 """Token ids in grammar-compressed shards, in ascending doc_id order.
 
 Documents are dealt to partitions by ranges of doc_id, encoded, and packed into shards of about SHARD_IDS ids. Each shard
-is compressed by Re-Pair: the most frequent pairs of neighbouring symbols are replaced by nonterminals, in rounds that
-take many pairs at once as long as no two of them can overlap, until no pair is seen LEAST_COUNT times. A document's end id is in no pair, so every document is a
-slice of the compressed symbols. A shard's bytes, all little-endian, are
+is compressed by Re-Pair: frequent pairs of neighbouring symbols are replaced by nonterminals, each where it is more frequent
+than the pairs that overlap it, until no pair is seen LEAST_COUNT times. A document's end id is in no pair, so every
+document is a slice of the compressed symbols. A shard's bytes, all little-endian, are
 
     magic `WRP1`; u32 first nonterminal, documents, rules, symbols; u8 bytes for each symbol
     i64 doc_id and u8 null mark of each document, u64 ids and u64 first symbol of each document
@@ -16,14 +16,16 @@ written and read by any store that Spark knows. The place of a partition's first
 partitions, one number for each.
 
 Defined cases: a null or empty text is the end id alone; equal doc_ids are ordered by text; a null doc_id comes first;
-an empty table gives no rows. Strings of special tokens inside a text are ordinary text. Only doc_id and text are read.
+an empty table gives no rows. Strings of special tokens inside a text become what the tokenizer makes of them. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -32,133 +34,136 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftgraph.llm.store import new_path
-from weftgraph.llm.words import slices
+from weftgraph.llm.words import only_one, slices
 
 END = 2
 SHARD_IDS = 1_000_000
-ROUND_PAIRS = 600
-LEAST_COUNT = 12
+LEAST_COUNT = 12  # a rule takes 12 bytes and each use of it saves two
 CACHE = 300_000
+CELL_BITS, FEW = 22, 50_000
 _MAGIC = b"WRP1"
 _HEAD = struct.Struct("<4sIIIIB")
-_cells = 1 << 20
-#: A space between spaces, or at the end after one: there the tokenizer looks across it.
-_across = re.compile(r"\s (?:\s|\Z)")
+_BREAK = np.uint32(0xFFFFFFFF)  # stands for a document's end id
+#: White space before a space: there, and where more follows or the text ends, the tokenizer looks across the space.
+_across = tuple(f"{c} " for c in " \t\n\v\f\r")
+_wide_across = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 
 
 class Encoder:
-    """Ids of texts. No piece of the byte-level pattern holds a space but at its start, so words are encoded once."""
+    """Ids of texts. No piece of the byte-level pattern holds a space but at its start, so words are encoded once.
 
-    _held: dict[str, Encoder] = {}
+    Words are remembered in two halves: what is met again moves to the young half, and when that is full the old half is
+    forgotten, so words met once do not drive out those met often.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already fill the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.base = self.tokenizer.get_vocab_size()
-        self.words: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> Encoder:
-        if path not in cls._held:
-            cls._held[path] = cls(path)
-        return cls._held[path]
+        return only_one(f"encoder {path}", lambda: cls(path))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _is_whole(self, text: str) -> bool:
+        """Whether the tokenizer may look across a space, or the text holds the string of an added token."""
+        if any(mark in text for mark in self.added) or any(pair in text for pair in _across):
+            return True
+        return not text.isascii() and _wide_across.search(text) is not None
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        need = [w for w in words if w not in self.young]
+        fresh = [w for w in need if w not in self.old]
+        if len(fresh) < len(need):
+            self.young.update((w, self.old[w]) for w in need if w in self.old)
+        for k in range(0, len(fresh), 50_000):
+            some = fresh[k : k + 50_000]
+            self.young.update(zip(some, self._ids([f" {w}" for w in some]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian u32, without the end id."""
         out: list[bytes] = [b""] * len(texts)
-        whole = [k for k, t in enumerate(texts) if t and _across.search(t)]
-        cut = {k: t.split(" ") for k, t in enumerate(texts) if t and not _across.search(t)}
+        whole = [k for k, t in enumerate(texts) if t and self._is_whole(t)]
         for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
             out[k] = ids
-        need = set().union(*(parts[1:] for parts in cut.values()))
-        fresh = [w for w in need if w not in self.words]
-        if len(self.words) + len(fresh) > CACHE:
-            self.words.clear()
-            fresh = list(need)
-        self.words.update(zip(fresh, self._ids([f" {w}" for w in fresh]), strict=True))
+        looked = set(whole)
+        cut = {k: t.split(" ") for k, t in enumerate(texts) if t and k not in looked}
+        self._learn(set().union(*(parts[1:] for parts in cut.values())))
         first = dict(zip(cut, self._ids([parts[0] for parts in cut.values()]), strict=True))
-        get = self.words.__getitem__
+        get = self.young.__getitem__
         for k, parts in cut.items():
             out[k] = first[k] + b"".join(map(get, parts[1:]))
         return out
 
 
-def _choose(left: np.ndarray, right: np.ndarray, ok: np.ndarray) -> list[tuple[int, int]]:
-    """The most frequent pairs of which no two can overlap."""
-    cell = ((left * np.uint32(2654435761)) ^ (right * np.uint32(2246822519))) >> np.uint32(12)
-    cell = cell[ok]
-    counts = np.bincount(cell, minlength=_cells)
-    often = np.flatnonzero(counts >= LEAST_COUNT)
-    if not len(often):
-        return []
-    code = (left[ok].astype(np.uint64) << np.uint64(32)) | right[ok].astype(np.uint64)
-    if len(often) > 2 * ROUND_PAIRS:
-        most = often[np.argpartition(counts[often], -2 * ROUND_PAIRS)[-2 * ROUND_PAIRS :]]
-        if chosen := _disjoint(code, cell, most):
-            return chosen
-    return _disjoint(code, cell, often)  # the fullest cells may hold rare pairs alone
-
-
-def _disjoint(code: np.ndarray, cell: np.ndarray, often: np.ndarray) -> list[tuple[int, int]]:
-    """The most frequent pairs of the cells in often, of which no two can overlap; none if no pair is frequent."""
-    wanted = np.zeros(_cells, bool)
-    wanted[often] = True
-    pairs, n = np.unique(code[wanted[cell]], return_counts=True)
-    firsts: set[int] = set()
-    seconds: set[int] = set()
-    chosen = []
-    for k in np.argsort(-n, kind="stable"):
-        if n[k] < LEAST_COUNT or len(chosen) == ROUND_PAIRS:
-            break
-        a, b = int(pairs[k] >> np.uint64(32)), int(pairs[k] & np.uint64(0xFFFFFFFF))
-        if a in firsts or a in seconds or b in firsts or b in seconds:
-            continue
-        firsts.add(a)
-        seconds.add(b)
-        chosen.append((a, b))
-    return chosen
+def _frequent(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs at these places those seen LEAST_COUNT times: their places, their numbers there, the pairs, the counts."""
+    code = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+    if len(at) > FEW:  # a pair is at most as frequent as its cell
+        cell = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+        full = np.bincount(cell, minlength=1 << CELL_BITS)[cell] >= LEAST_COUNT
+        at, code = at[full], code[full]
+    pairs, which, n = np.unique(code, return_inverse=True, return_counts=True)
+    often = n >= LEAST_COUNT
+    here, number = often[which], np.cumsum(often) - 1
+    return at[here], number[which[here]], pairs[often], n[often]
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, first symbol of each document and the end, rules); the ids of a document end with END."""
-    seq, starts, rules = ids.astype(np.uint32), starts.astype(np.int64), []
-    ends = np.zeros(len(seq), bool)
-    ends[starts[1:] - 1] = True
-    while len(seq) > 1:
-        left, right = seq[:-1], seq[1:]
-        ok = ~(ends[:-1] | ends[1:])
-        chosen = _choose(left, right, ok)
-        if not chosen:
+    """(symbols, first symbol of each document and the end, rules); the ids of a document end with END.
+
+    In a round a pair is replaced wherever it is more frequent than both pairs that overlap it, so the most frequent pair is
+    replaced everywhere. Only places beside a change, or of pairs that are still frequent, are looked at again.
+    """
+    seq, rules, number = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], base
+    seq[starts[1:] - 1] = _BREAK
+    live = np.ones(len(seq), bool)
+    while True:
+        at = np.flatnonzero(live[:-1] & (seq[:-1] != _BREAK) & (seq[1:] != _BREAK))
+        twin = at[seq[at] == seq[at + 1]]
+        at, which, pairs, n = _frequent(seq, at)
+        if not len(pairs):
             break
-        number = base + len(rules)
-        partner = np.full(number, 0xFFFFFFFF, np.uint32)
-        name = np.zeros(number, np.uint32)
-        for k, (a, b) in enumerate(chosen):
-            partner[a], name[a] = b, number + k
-        hit = (partner[left] == right) & ok
-        at = np.flatnonzero(hit)
-        # equal neighbours: take every other pair of a run
-        if any(a == b for a, b in chosen):
-            twin = at[left[at] == right[at]]
-            if len(twin):
-                run = np.flatnonzero(np.r_[True, twin[1:] != twin[:-1] + 1])
-                start_of = np.repeat(twin[run], np.diff(np.r_[run, len(twin)]))
-                hit[twin[(twin - start_of) % 2 == 1]] = False
-                at = np.flatnonzero(hit)
-        seq = seq.copy()
-        seq[at] = name[seq[at]]
+        live[:] = False
+        live[at] = live[twin] = True
+        if len(twin):  # in a run of one symbol every other pair can be replaced
+            run = np.flatnonzero(np.r_[True, twin[1:] != twin[:-1] + 1])
+            first = np.repeat(twin[run], np.diff(np.r_[run, len(twin)]))
+            odd = np.zeros(len(seq), bool)
+            odd[twin[(twin - first) % 2 == 1]] = True
+            at, which = at[~odd[at]], which[~odd[at]]
+        rank = np.empty(len(pairs), np.int32)
+        rank[np.lexsort((pairs, n))] = np.arange(1, len(pairs) + 1)
+        placed, mine = np.zeros(len(seq) + 2, np.int32), rank[which]
+        placed[at + 1] = mine
+        best = (mine > placed[at]) & (mine > placed[at + 2])
+        won = np.bincount(which[best], minlength=len(pairs))
+        chosen = np.flatnonzero(2 * won >= n)  # the most frequent pair always is
+        chosen = chosen[np.argsort(-rank[chosen])]
+        name = np.zeros(len(pairs), np.uint32)
+        name[chosen] = number + np.arange(len(chosen))
+        best &= name[which] > 0
+        at = at[best]
+        seq[at] = name[which[best]]
+        live[at] = live[np.maximum(at - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        gone = np.concatenate([[0], np.cumsum(~keep)])
-        starts = starts - gone[starts]
-        seq, ends = seq[keep], ends[keep]
-        rules.extend(chosen)
-    return seq, starts, np.array(rules, np.uint32).reshape(-1, 2)
+        seq, live = seq[keep], live[keep]
+        rules.append(np.stack([pairs[chosen] >> np.uint64(32), pairs[chosen] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        number += len(chosen)
+    ends = np.flatnonzero(seq == _BREAK)
+    seq[ends] = ids[starts[1:] - 1]
+    return seq, np.r_[0, ends + 1], np.concatenate(rules)
 
 
 def lengths_of(rules: np.ndarray, base: int) -> np.ndarray:

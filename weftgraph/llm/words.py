@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -14,6 +14,17 @@ SLICE_BYTES = 3_000_000
 TABLE_SIZE = 400_000
 
 
+_one: dict[str, object] = {}
+
+
+def only_one(name: str, make: Callable[[], object]) -> object:
+    """This worker's memory called `name`; workers outlive tasks, so any other operator's memory makes room for it."""
+    if name not in _one:
+        _one.clear()
+        _one[name] = make()
+    return _one[name]
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)
