@@ -31,6 +31,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftgraph.llm.store import new_path
@@ -40,7 +41,7 @@ END = 2
 SHARD_IDS = 1_000_000
 LEAST_COUNT = 12  # a rule takes 12 bytes and each use of it saves two
 CACHE = 300_000
-CELL_BITS, FEW = 22, 50_000
+CELL_BITS, FEW = 18, 50_000
 _MAGIC = b"WRP1"
 _HEAD = struct.Struct("<4sIIIIB")
 _BREAK = np.uint32(0xFFFFFFFF)  # stands for a document's end id
@@ -79,7 +80,7 @@ class Encoder:
             return True
         return not text.isascii() and _wide_across.search(text) is not None
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
         need = [w for w in words if w not in self.young]
@@ -97,70 +98,108 @@ class Encoder:
         for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
             out[k] = ids
         looked = set(whole)
-        cut = {k: t.split(" ") for k, t in enumerate(texts) if t and k not in looked}
-        self._learn(set().union(*(parts[1:] for parts in cut.values())))
-        first = dict(zip(cut, self._ids([parts[0] for parts in cut.values()]), strict=True))
-        get = self.young.__getitem__
-        for k, parts in cut.items():
-            out[k] = first[k] + b"".join(map(get, parts[1:]))
+        cut = [k for k, t in enumerate(texts) if t and k not in looked]
+        if not cut:
+            return out
+        parts = pc.split_pattern(pa.array([texts[k] for k in cut], pa.large_string()), " ")
+        coded, bounds = parts.flatten().dictionary_encode(), np.asarray(parts.offsets)
+        words, code = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
+        self._learn(words)
+        # a text's first word has no space before it
+        first = np.asarray(bounds[:-1])
+        known = [*map(self.young.__getitem__, words), *self._ids([words[c] for c in code[first].tolist()])]
+        code[first] = len(words) + np.arange(len(first))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat, begin, n = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size, size[code]
+        end = np.cumsum(n)
+        joined = flat[np.repeat(begin[code] - (end - n), n) + np.arange(int(end[-1]))].tobytes()
+        ends = np.r_[0, end][bounds] * 4
+        for k, x, y in zip(cut, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[k] = joined[x:y]
         return out
 
 
-def _frequent(seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs at these places those seen LEAST_COUNT times: their places, their numbers there, the pairs, the counts."""
-    code = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-    if len(at) > FEW:  # a pair is at most as frequent as its cell
+def _frequent(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the codes are of pairs that occur LEAST_COUNT times, the number of the pair of each, the pairs, their counts."""
+    some, cell = np.arange(len(code)), None
+    if len(code) > FEW:  # a pair is at most as frequent as its cell
         cell = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-        full = np.bincount(cell, minlength=1 << CELL_BITS)[cell] >= LEAST_COUNT
-        at, code = at[full], code[full]
-    pairs, which, n = np.unique(code, return_inverse=True, return_counts=True)
-    often = n >= LEAST_COUNT
-    here, number = often[which], np.cumsum(often) - 1
-    return at[here], number[which[here]], pairs[often], n[often]
+        some = np.flatnonzero((np.bincount(cell, minlength=1 << CELL_BITS) >= LEAST_COUNT)[cell])
+        code, cell = code[some], cell[some]
+    ordered = np.sort(code)
+    begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(code) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[begin, len(code)])
+    pairs, n = ordered[begin[n >= LEAST_COUNT]], n[n >= LEAST_COUNT]
+    if not len(pairs):
+        return some[:0], some[:0], pairs, n
+    if cell is None:
+        number = np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)
+    else:  # look numbers up by cell, and only where pairs share one by search
+        of_pair = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+        table, shared = np.zeros(1 << CELL_BITS, np.int64), np.zeros(1 << CELL_BITS, bool)
+        table[of_pair] = np.arange(len(pairs))
+        shared[of_pair[table[of_pair] != np.arange(len(pairs))]] = True
+        number, search = table[cell], np.flatnonzero(shared[cell])
+        number[search] = np.minimum(np.searchsorted(pairs, code[search]), len(pairs) - 1)
+    here = pairs[number] == code
+    return some[here], number[here], pairs, n
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, first symbol of each document and the end, rules); the ids of a document end with END.
 
     In a round a pair is replaced wherever it is more frequent than both pairs that overlap it, so the most frequent pair is
-    replaced everywhere. Only places beside a change, or of pairs that are still frequent, are looked at again.
+    replaced everywhere. Only places beside a change, or of pairs that are still frequent, are looked at again. Symbols are
+    linked to their neighbours, so that a round costs what it looks at.
     """
-    seq, rules, number = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], base
+    size, rules, number = len(ids), [np.zeros((0, 2), np.uint32)], base
+    seq = np.append(ids, _BREAK).astype(np.uint32)
     seq[starts[1:] - 1] = _BREAK
-    live = np.ones(len(seq), bool)
+    after, before = np.arange(1, size + 2), np.arange(-1, size)
+    live, held, placed = np.ones(size + 1, bool), np.ones(size + 1, bool), np.zeros(size + 2, np.int32)
     while True:
-        at = np.flatnonzero(live[:-1] & (seq[:-1] != _BREAK) & (seq[1:] != _BREAK))
-        twin = at[seq[at] == seq[at + 1]]
-        at, which, pairs, n = _frequent(seq, at)
+        at = np.flatnonzero(live)
+        at = at[seq[at] != _BREAK]
+        left, right = seq[at], seq[after[at]]
+        inner = right != _BREAK
+        at, left, right = at[inner], left[inner], right[inner]
+        twin = at[left == right]
+        some, which, pairs, n = _frequent((left.astype(np.uint64) << np.uint64(32)) | right)
         if not len(pairs):
             break
+        at = at[some]
         live[:] = False
         live[at] = live[twin] = True
+        valid = at
         if len(twin):  # in a run of one symbol every other pair can be replaced
-            run = np.flatnonzero(np.r_[True, twin[1:] != twin[:-1] + 1])
-            first = np.repeat(twin[run], np.diff(np.r_[run, len(twin)]))
-            odd = np.zeros(len(seq), bool)
-            odd[twin[(twin - first) % 2 == 1]] = True
-            at, which = at[~odd[at]], which[~odd[at]]
+            run = np.flatnonzero(np.r_[True, twin[1:] != after[twin[:-1]]])
+            place = np.arange(len(twin)) - np.repeat(run, np.diff(np.r_[run, len(twin)]))
+            even = np.ones(size + 1, bool)
+            even[twin[place % 2 == 1]] = False
+            valid, which = at[even[at]], which[even[at]]
         rank = np.empty(len(pairs), np.int32)
         rank[np.lexsort((pairs, n))] = np.arange(1, len(pairs) + 1)
-        placed, mine = np.zeros(len(seq) + 2, np.int32), rank[which]
-        placed[at + 1] = mine
-        best = (mine > placed[at]) & (mine > placed[at + 2])
+        mine = rank[which]
+        placed[valid] = mine  # the last place stands for "before the first", as before has -1 there
+        best = (mine > placed[before[valid]]) & (mine > placed[after[valid]])
+        placed[valid] = 0
         won = np.bincount(which[best], minlength=len(pairs))
         chosen = np.flatnonzero(2 * won >= n)  # the most frequent pair always is
         chosen = chosen[np.argsort(-rank[chosen])]
         name = np.zeros(len(pairs), np.uint32)
         name[chosen] = number + np.arange(len(chosen))
         best &= name[which] > 0
-        at = at[best]
-        seq[at] = name[which[best]]
-        live[at] = live[np.maximum(at - 1, 0)] = True
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, live = seq[keep], live[keep]
+        at, which = valid[best], which[best]
+        seq[at] = name[which]
+        gone = after[at]
+        held[gone] = live[gone] = False
+        after[at] = after[gone]
+        before[after[at]] = at
+        live[at] = True
+        live[before[at[before[at] >= 0]]] = True
         rules.append(np.stack([pairs[chosen] >> np.uint64(32), pairs[chosen] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         number += len(chosen)
+    seq = seq[:size][held[:size]]
     ends = np.flatnonzero(seq == _BREAK)
     seq[ends] = ids[starts[1:] - 1]
     return seq, np.r_[0, ends + 1], np.concatenate(rules)
