@@ -7,18 +7,26 @@ probability of the sets' similarity, and the number of agreements is concentrate
 into bands; documents that agree in a whole band are candidates, at BANDS x ROWS as below with a chance of 5 in
 a million to miss a pair that is exactly at the threshold of 0.75. A candidate counts only if the full sets say so.
 
-Documents with one set are one class and are handled as one. Within a band's bucket, members are compared with pivots
-instead of with each other: first with the member that shares most buckets with others, which is the centre of a group
-of copies, then, as long as the bucket holds members of several components, with pivots drawn at random, for
-PIVOT_ROUNDS rounds; what is left is compared pair by pair, but for members that have too few shingles in common with all
-of those left together, as documents around one common passage have. So no link between components is left out and large groups
-need few comparisons. A pair is compared only if both sizes allow the threshold and the sketches do: of each coordinate
-two bits are kept, and pairs at the threshold agree in 104 of 128 on average, with a deviation of 4.4; pairs with fewer
-than LEAST_AGREEING, 6 deviations less, are left out, which loses one true link in a billion.
+Documents with one set are one class and are handled as one. Within a band's bucket, members are first compared with a
+pivot only, the member that shares most buckets with others, which is the centre of a group of copies. Where a bucket then
+still holds members of several components, its members are joined by what sets them apart from the pivot. With p the pivot,
+D(x) = x xor p, and J(x, y) >= 3/4 just if |D(x) xor D(y)| <= (|x| + |y|) / 7. So with g(x) = 7 |D(x)| - |x| two members are
+linked just if their differences have (g(x) + g(y)) / 14 shingles in common. A member that is linked with p has g <= |p|, any
+other has more, and of two members that are not in one component at least one is of the second kind. Items that stand in
+one difference only can't be common; the others are taken from the rarest on, only as many as leave too few behind (a prefix
+filter), and members that share such an item are compared. All of this is exact, and as copies differ in places of
+their own, it leaves few pairs even in large groups. Members with under 3/4 of their shingles in any other open member are
+linked with none and left out before.
+
+A pair is compared on the full sets only if both sizes allow the threshold and the sketches do: of each coordinate two bits
+are kept, and pairs at the threshold agree in 104 of 128 on average, with a deviation of 4.4; pairs with fewer than
+LEAST_AGREEING, 6 deviations less, are left out, which loses one true link in a billion. Sets are of 64-bit hashes of the
+shingles, of words' 64-bit hashes.
 
 Defined cases: null and empty texts, or those without words, have an empty set, are linked with nothing and are kept.
 A text with fewer words than a shingle is one shingle. Rows with a null doc_id take no part and are returned with a
-null component, kept. Repeated doc_ids are joined with all classes of that id. Only doc_id and text are read.
+null component, kept. A doc_id is one document: where it is repeated with other texts, it is linked with what any of them is
+linked with. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -36,7 +44,7 @@ SHINGLE = 5
 THRESHOLD = 75  # per cent of the union
 BANDS, ROWS = 32, 4
 T = BANDS * ROWS
-PIVOT_ROUNDS = 5
+NEAR_BANDS = 8  # members linked with a pivot are dealt by g into so many bands, for shorter prefixes
 LEAST_AGREEING = 78
 SKETCH = ("s0", "s1", "s2", "s3")
 _all = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -103,6 +111,11 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return (total[starts[1:]] - total[starts[:-1]]).view(np.int64)
 
 
+def digests(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of every set, which tell sets apart."""
+    return _sums(mix(hashes), starts), _sums(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), starts)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a digest of the set in two halves, and its band keys."""
 
@@ -116,8 +129,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             columns = [
                 part.column(0),
                 pa.array(np.diff(starts), pa.int64()),
-                pa.array(_sums(mix(hashes), starts)),
-                pa.array(_sums(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), starts)),
+                *map(pa.array, digests(hashes, starts)),
                 lists,
                 *map(pa.array, short_sketches(rows)),
             ]
@@ -129,40 +141,68 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the set as sorted 64-bit hashes in binary."""
+    """The digests of the texts' sets, and the sets as sorted 64-bit hashes in binary; equal sets may be repeated."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            hashes, starts = shingle_sets(part.column(1).to_pylist())
-            packed = [hashes[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
-            yield pa.record_batch([part.column(0), pa.array(packed, pa.binary())], names=["doc_id", "items"])
+            hashes, starts = shingle_sets(part.column(0).to_pylist())
+            d1, d2 = digests(hashes, starts)
+            once = np.unique(d1, return_index=True)[1]  # repeated texts make one set
+            packed = [hashes[starts[k] : starts[k + 1]].tobytes() for k in once.tolist()]
+            yield pa.record_batch([pa.array(d1[once]), pa.array(d2[once]), pa.array(packed, pa.binary())], names=["d1", "d2", "items"])
+
+    return docs.select("text").mapInArrow(build, "d1 long, d2 long, items binary")
 
-    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, items binary")
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs with of_a and of_b, the sets of a and b."""
+    for end in ("b", "a"):
+        pairs = pairs.join(sets.select(F.col("v").alias(end), F.col("items").alias(f"of_{end}")), end)
+    return pairs
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    both = (
-        pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("of_b")), "b")
-        .join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("of_a")), "a")
-        .select("a", "b", "of_a", "of_b")
-    )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, left = np.zeros(batch.num_rows, bool), None, None
-            for k, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True)):
-                if a != last:
-                    last, left = a, np.frombuffer(x.as_buffer(), np.uint64)
-                right = np.frombuffer(y.as_buffer(), np.uint64)
-                n = len(left) + len(right)
-                both = np.concatenate([left, right])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep[k] = 100 * common >= THRESHOLD * (n - common)
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = _common(x, y)
+                keep[k] = 100 * common >= THRESHOLD * (len(x) + len(y) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(compare, "a long, b long")
+    return _with_sets(pairs, sets).select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long")
+
+
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, g, n_b, item): what sets a apart from its pivot b, with g = 7 |D| - |a| and the pivot's size; nothing where both are equal."""
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                items, g, n = [], [], []
+                for x, y in zip(part.column(2), part.column(3), strict=True):
+                    x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                    items.append(np.setxor1d(x, y, assume_unique=True))
+                    g.append(7 * len(items[-1]) - len(x))
+                    n.append(len(y))
+                sizes = [len(x) for x in items]
+                row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                columns = [part.column(0).take(row), part.column(1).take(row)]
+                columns += [pa.array(np.repeat(np.array(x, np.int64), sizes)) for x in (g, n)]
+                yield pa.record_batch([*columns, pa.array(np.concatenate(items))], names=["a", "b", "g", "n_b", "item"])
+
+    rows = _with_sets(pairs, sets).select("a", "b", "of_a", "of_b")
+    return rows.mapInArrow(differ, "a long, b long, g long, n_b long, item long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,70 +249,94 @@ def _fits(a: str, b: str) -> Column:
 
 
 def shared_sizes(sets: DataFrame) -> DataFrame:
-    """(rep, core): how many shingles of each set stand in another of the sets, too."""
+    """(v, core): how many shingles of each set stand in another of the sets, too."""
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
             if parts:
                 ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts])))
-                yield pa.record_batch([ids, pa.array(np.concatenate(parts))], names=["rep", "item"])
+                yield pa.record_batch([ids, pa.array(np.concatenate(parts))], names=["v", "item"])
 
-    rows = sets.select("doc_id", "items").mapInArrow(items, "rep long, item long")
+    rows = sets.select("v", "items").mapInArrow(items, "v long, item long")
     common = rows.groupBy("item").agg(F.count("*").alias("sets")).filter("sets > 1").select("item")
-    return rows.join(common, "item").groupBy("rep").agg(F.count("*").alias("core"))
+    return rows.join(common, "item").groupBy("v").agg(F.count("*").alias("core"))
 
 
-def link_components(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(v, c): components of the representatives (doc_id, n, bands, short sketch) of distinct sets; those without a link are absent."""
-    keyed = reps.select(F.explode("bands").alias("key"), F.struct(F.col("doc_id").alias("rep"), "n", *SKETCH).alias("m"))
+def open_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of members(p, m, c, core) that may be linked and are not in one component c, by the differences from pivots p."""
+    apart = durable(differences(members.select(F.col("m.v").alias("a"), F.col("p").alias("b")), sets), "minhash-differences")
+    often = apart.groupBy("b", "item").agg(F.count("*").alias("n")).filter("n > 1")
+    held = apart.join(often, ["b", "item"]).groupBy("a", "b").agg(
+        F.first("g").alias("g"), F.first("n_b").alias("n_b"), F.array_sort(F.collect_list(F.struct("n", "item"))).alias("held")
+    )
+    held = held.join(members.select(F.col("m.v").alias("a"), F.col("p").alias("b"), "m", "c", "core"), ["a", "b"])
+    held = durable(held.withColumn("size", F.size("held")), "minhash-held")
+    need = lambda least: F.greatest(F.lit(1), F.ceil((F.col("g") + least) / 14))  # noqa: E731  common items, given the other's least g
+
+    def prefix(of: DataFrame, least: Column, band: Column) -> DataFrame:
+        kept = F.transform(F.slice("held", 1, F.greatest(F.lit(0), F.col("size") - need(least) + 1).cast("int")), lambda x, k: F.struct(x["item"].alias("item"), (k + 1).alias("at")))
+        return of.select("b", band.alias("band"), F.struct("m", "c", "core", "g", "size").alias("x"), F.explode(kept).alias("i")).select("b", "band", "x", "i.item", "i.at")
+
+    width, far = F.col("n_b") / (NEAR_BANDS / 2), F.col("g") > F.col("n_b")  # a near member's g is from -n_b to n_b
+    band = F.least(F.lit(NEAR_BANDS - 1), F.floor((F.col("g") + F.col("n_b")) / width)).cast("int")
+    beyond = F.col("n_b") + 1
+    near = prefix(held.filter(~far), beyond, band)
+    outer = prefix(held.filter(far), beyond, F.lit(NEAR_BANDS))
+    bands = held.filter(far).withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(NEAR_BANDS - 1))))
+    probes = prefix(bands, F.floor(F.col("band") * width - F.col("n_b")), F.col("band")).unionByName(outer)
+    other = near.unionByName(outer).select("b", "band", "item", F.col("x").alias("y"), F.col("at").alias("at_y"))
+    met = probes.join(other, ["b", "band", "item"])
+    both = F.ceil((F.col("x.g") + F.col("y.g")) / 14)
+    common = F.least("x.core", "y.core")
+    enough = common * 100 >= (F.col("x.m.n") + F.col("y.m.n") - common) * THRESHOLD
+    enough &= (F.col("at") <= F.col("x.size") - both + 1) & (F.col("at_y") <= F.col("y.size") - both + 1)
+    once = (F.col("band") < NEAR_BANDS) | (F.col("x.m.v") < F.col("y.m.v"))
+    met = met.filter(once & (F.col("x.c") != F.col("y.c")) & enough & _fits("x.m", "y.m"))
+    return met.select(F.least("x.m.v", "y.m.v").alias("a"), F.greatest("x.m.v", "y.m.v").alias("b")).distinct()
+
+
+def link_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(v, c): components of the classes (v, rep, d1, d2, n, bands, short sketch) of distinct sets; those without a link are absent."""
+    keyed = classes.select(F.explode("bands").alias("key"), F.struct("v", "n", *SKETCH).alias("m"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = durable(keyed.join(shared, "key"), "minhash-buckets")
-    degrees = buckets.groupBy(F.col("m.rep").alias("rep")).agg(F.sum("size").alias("degree"))
-    ranked = buckets.join(degrees, buckets["m.rep"] == degrees["rep"]).select("key", "m", "degree")
-    pivots = ranked.groupBy("key").agg(F.max_by("m", F.struct("degree", -F.col("m.rep"))).alias("p"))
-    to_pivot = buckets.join(pivots, "key").filter((F.col("m.rep") != F.col("p.rep")) & _fits("m", "p"))
-    pairs = to_pivot.select(F.least("m.rep", "p.rep").alias("a"), F.greatest("m.rep", "p.rep").alias("b"))
-    pairs = durable(pairs.distinct(), "minhash-pairs")
-    members = buckets.select(F.col("m.rep").alias("doc_id")).distinct()
-    needed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id", "left_semi")
-    # repeated doc_ids with other texts would give a second set; the representative's is that of the greater text
-    sets = durable(full_sets(needed.groupBy("doc_id").agg(F.max("text").alias("text"))), "minhash-sets")
-    tried, links = pairs, durable(verified(pairs, sets), "minhash-links")
-    still = buckets.select("key", "m")
+    degrees = buckets.groupBy(F.col("m.v").alias("v")).agg(F.sum("size").alias("degree"))
+    ranked = buckets.join(degrees, buckets["m.v"] == degrees["v"]).select("key", "m", "degree")
+    pivots = durable(ranked.groupBy("key").agg(F.max_by("m", F.struct("degree", -F.col("m.v"))).alias("p")), "minhash-pivots")
+    to_pivot = buckets.join(pivots, "key").filter((F.col("m.v") != F.col("p.v")) & _fits("m", "p"))
+    pairs = durable(to_pivot.select(F.col("m.v").alias("a"), F.col("p.v").alias("b")).distinct(), "minhash-pairs")
+    # one text of each class in a bucket: that of the least doc_id, told from others under the same doc_id by its digest
+    members = degrees.select("v").join(classes.select("v", "rep", "d1", "d2"), "v")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("rep").distinct(), "rep", "left_semi")
+    sets = full_sets(texts).join(members.select("v", "d1", "d2"), ["d1", "d2"])
+    sets = durable(sets.groupBy("d1", "d2").agg(F.first("v").alias("v"), F.first("items").alias("items")).select("v", "items"), "minhash-sets")
+    links = durable(verified(pairs, sets), "minhash-links")
     comp = components(links)
-    for number in range(PIVOT_ROUNDS + 1):
-        labels = comp.select(F.col("v").alias("rep"), "c")
-        labelled = still.withColumn("rep", F.col("m.rep")).join(labels, "rep", "left")
-        labelled = labelled.select("key", "m", F.coalesce("c", "rep").alias("c"))
-        draw = F.min_by(F.struct("m", "c"), F.xxhash64("m.rep", "key", F.lit(number))).alias("p")
-        mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), draw)
-        mixed = mixed.filter("lo < hi").select("key", F.col("p.m").alias("p"), F.col("p.c").alias("pc"))
-        still = durable(labelled.join(mixed, "key"), "minhash-open")
-        if still.isEmpty():
-            break
-        if number < PIVOT_ROUNDS:
-            cross = still.filter((F.col("c") != F.col("pc")) & _fits("m", "p"))
-            pairs = cross.select(F.least("m.rep", "p.rep").alias("a"), F.greatest("m.rep", "p.rep").alias("b"))
-        else:
-            # what two members have in common is at most what each has in common with any of those left
-            left_ids = still.select(F.col("m.rep").alias("doc_id")).distinct()
-            cores = durable(shared_sizes(sets.join(left_ids, "doc_id", "left_semi")), "minhash-cores")
-            some = still.withColumn("rep", F.col("m.rep")).join(cores, "rep")
-            some = some.filter(F.col("core") * 100 >= F.col("m.n") * THRESHOLD)
-            left, right = (some.select("key", F.col("m").alias(x), F.col("c").alias(f"c{x}"), F.col("core").alias(f"core{x}")) for x in "xy")
-            common = F.least("corex", "corey")
-            enough = common * 100 >= (F.col("x.n") + F.col("y.n") - common) * THRESHOLD
-            cross = left.join(right, "key").filter((F.col("x.rep") < F.col("y.rep")) & (F.col("cx") != F.col("cy")) & _fits("x", "y") & enough)
-            pairs = cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        pairs = durable(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "minhash-pairs")
-        still = still.select("key", "m")
-        found = durable(verified(pairs, sets), "minhash-links")
-        tried = tried.unionByName(pairs)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            comp = components(links)
-    return comp
+    labelled = buckets.select("key", "m", F.col("m.v").alias("v")).join(comp, "v", "left").select("key", "m", F.coalesce("c", "v").alias("c"))
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    still = labelled.join(mixed, "key").join(pivots.select("key", F.col("p.v").alias("p")), "key")
+    still = durable(still.select("p", F.col("m.v").alias("v"), "m", "c").dropDuplicates(["p", "v"]), "minhash-open")
+    if still.isEmpty():
+        return comp
+    # what two members have in common is at most what each has in common with any of those left
+    cores = shared_sizes(sets.join(still.select("v").distinct(), "v", "left_semi"))
+    some = still.join(cores, "v").filter(F.col("core") * 100 >= F.col("m.n") * THRESHOLD)
+    several = some.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("p")
+    members = durable(some.join(several, "p").select("p", "m", "c", "core"), "minhash-members")
+    if members.isEmpty():
+        return comp
+    found = durable(verified(open_pairs(members, sets), sets), "minhash-links")
+    return comp if found.isEmpty() else components(links.unionByName(found))
+
+
+def same_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links between the classes of a doc_id that is repeated with other texts."""
+    several = signed.groupBy("doc_id").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo < hi").select("doc_id")
+    named = signed.join(several, "doc_id").select("doc_id", "n", "d1", "d2").distinct()
+    named = durable(named.join(classes.select("v", "n", "d1", "d2"), ["n", "d1", "d2"]).select("doc_id", "v"), "minhash-repeated")
+    first = named.groupBy("doc_id").agg(F.min("v").alias("a"))
+    return named.join(first, "doc_id").select("a", F.col("v").alias("b")).filter("a < b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -281,10 +345,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = signed.filter("doc_id is not null and n > 0")
     classes = known.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "bands", *SKETCH)).alias("r"))
     classes = classes.select("n", "d1", "d2", F.col("r.doc_id").alias("rep"), "r.bands", *(f"r.{c}" for c in SKETCH))
-    classes = durable(classes, "minhash-classes")
-    comp = link_components(classes.select(F.col("rep").alias("doc_id"), "n", "bands", *SKETCH), docs)
-    least = classes.join(comp.withColumnRenamed("v", "rep"), "rep", "left")
-    least = least.select("n", "d1", "d2", F.coalesce("c", "rep").alias("component"))
+    classes = durable(classes.withColumn("v", F.monotonically_increasing_id()), "minhash-classes")  # numbers hold as they are written
+    comp = link_components(classes, docs)
+    repeated = durable(same_ids(known, classes), "minhash-links")
+    if not repeated.isEmpty():
+        linked = comp.filter("c < v").select(F.col("c").alias("a"), F.col("v").alias("b"))
+        comp = components(linked.unionByName(repeated))
+    linked = comp.join(classes.select("v", "rep"), "v")
+    least = linked.join(linked.groupBy("c").agg(F.min("rep").alias("component")), "c").select("v", "component")
+    least = classes.select("v", "rep", "n", "d1", "d2").join(least, "v", "left")
+    least = least.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
     joined = signed.select("doc_id", "n", "d1", "d2").join(least, ["n", "d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
