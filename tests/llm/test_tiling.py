@@ -1,3 +1,7 @@
+import re
+import string
+import time
+
 import numpy as np
 
 from weftgraph.llm import tiling
@@ -29,12 +33,48 @@ def slow_tiles(doc, item, size):
 
 def test_tiles_against_brute_force():
     rng = np.random.default_rng(5)
-    for _ in range(60):
-        item = rng.integers(0, 3, 18).astype(np.uint64)
-        doc = rng.integers(0, 3, 40).astype(np.uint64)
-        shared = [(i, d) for i in range(14) for d in range(36) if (item[i : i + 5] == doc[d : d + 5]).all()]
-        got = tiling.tiles(doc, item, shared, 5)
-        assert sum(n for *_, n in got) == sum(n for *_, n in slow_tiles(doc.tolist(), item.tolist(), 5))
+    for k in range(120):
+        letters = 2 + k % 3
+        item = rng.integers(0, letters, 18).astype(np.uint64)
+        doc = rng.integers(0, letters, 40).astype(np.uint64)
+        same = lambda i, d, n: bool((item[i : i + n] == doc[d : d + n]).all())  # noqa: B023, E731
+        assert tiling.tiles(doc, item, 3 + k % 3, same) == slow_tiles(doc.tolist(), item.tolist(), 3 + k % 3)
+
+
+def test_unequal_words_of_equal_hashes_are_no_match():
+    numbers = np.arange(20).astype(np.uint64)
+    assert tiling.tiles(numbers, numbers, 5, lambda i, d, n: False) == []
+
+
+def slow_leaks(texts, items, cover):
+    found = []
+    for t, text in enumerate(texts):
+        for k, item in enumerate(items):
+            doc, words_ = (re.sub(f"[{re.escape(string.punctuation)}]", " ", (x or "").lower()).split() for x in (text, item))
+            if words_:
+                marked = slow_tiles(doc, words_, min(5, len(words_)))
+                if sum(n for *_, n in marked) >= cover * len(words_):
+                    found.append((t, k, len(words_), sum(n for *_, n in marked), len(marked)))
+    return found
+
+
+def test_leaks_against_brute_force():
+    rng = np.random.default_rng(8)
+    draw = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 4, n))
+    items = [*(draw(int(rng.integers(1, 25))) for _ in range(12)), None, "", "W1, w2!", draw(8)]
+    items.append(items[0])
+    texts = [*(draw(int(rng.integers(0, 60))) for _ in range(25)), None, "", items[3], "w1 w2"]
+    found = tiling.leaks_in(texts, tiling.Items(list(enumerate(items))), 0.6)
+    assert sorted(found) == sorted(slow_leaks(texts, items, 0.6)) and len(found) > 20
+
+
+def test_long_repetitive_texts_take_seconds():
+    items = tiling.Items([(1, "again " * 50_000), (2, " ".join(["one two"] * 20_000)), (3, " ".join(f"w{k % 97}" for k in range(30_000)))])
+    texts = ["again " * 100_000, " ".join(["one two three"] * 5_000 + ["one two"] * 40_000), " ".join(f"w{k % 97}" for k in range(100_000))]
+    began = time.time()
+    found = tiling.leaks_in(texts, items, 0.6)
+    assert [(t, k, covered) for t, k, _, covered, _ in found] == [(0, 0, 50_000), (1, 1, 40_000), (2, 2, 30_000)]
+    assert time.time() - began < 60
 
 
 def test_reordered_passage_is_caught(spark):

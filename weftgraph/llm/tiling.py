@@ -1,10 +1,9 @@
 """Benchmark decontamination by greedy string tiling.
 
-Every run of SEED words of the benchmark is a seed. A document that holds seeds of an item is compared with the item:
-all maximal matches are grown from the shared seeds, the longest that overlaps nothing marked is marked as a tile,
-and so on down to SEED words; matches are found by running Karp-Rabin, whose hashes are those of the seeds, and grown
-by comparing words. An item is leaked if its tiles cover at least the threshold of its words, whatever their order
-in the document.
+Every run of SEED words of the benchmark is a seed. A document that shares seeds with an item is compared with it, unless all
+shared seeds together hold too few of its words: of the matches of unmarked words the longest is marked as a tile, and so
+on down to SEED words. Matches are found by running Karp-Rabin and confirmed on the words. An item is leaked if its
+tiles cover at least the threshold of its words, whatever their order in the document.
 
 Texts are lower-cased (A-Z), ASCII punctuation separates words. Items shorter than a seed have one seed, their whole
 text. The benchmark is a stated query set: it is taken in blocks of BLOCK_WORDS words at most, or one item, and each
@@ -18,12 +17,13 @@ nothing. Only the named columns are read; a filter returns all columns of the do
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from weftgraph.llm.store import durable
 from weftgraph.llm.words import flat_hashes, grams, inside, slices
 
 SEED = 5
@@ -37,83 +37,132 @@ def normal_words(text: str | None) -> list[bytes]:
 
 
 class Items:
-    """Benchmark items with an index of their seeds."""
+    """Benchmark items as flat arrays: words, their hashes, and for each size of seed the places where each seed stands."""
 
     def __init__(self, rows: list[tuple[int, str | None]]):
         self.ids = [i for i, _ in rows]
         words = [normal_words(t) for _, t in rows]
-        self.hashes = [flat_hashes([w])[0] for w in words]
+        self.words = [b" ".join(w) for w in words]
+        self.hashes, self.starts = flat_hashes(words)
+        self.lengths = np.diff(self.starts)
         self.sizes = sorted({min(SEED, len(w)) for w in words if w})
-        self.index: dict[int, dict[int, list[tuple[int, int]]]] = {s: {} for s in self.sizes}
-        for k, h in enumerate(self.hashes):
-            if len(h):
-                size = min(SEED, len(h))
-                for place, seed in enumerate(grams(h, size).tolist()):
-                    self.index[size].setdefault(seed, []).append((k, place))
-        self.seeds = {s: np.sort(np.fromiter(self.index[s], np.uint64, len(self.index[s]))) for s in self.sizes}
-        self.bits = {}
-        for s in self.sizes:
+        self.seeds, self.bounds, self.item, self.place, self.bits = {}, {}, {}, {}, {}
+        for size in self.sizes:
+            runs = grams(self.hashes, size)
+            ok = inside(self.starts, size, len(runs))
+            owner = np.repeat(np.arange(len(words)), self.lengths)[: len(runs)]
+            ok &= np.minimum(SEED, self.lengths[owner]) == size
+            at = np.flatnonzero(ok)
+            at = at[np.argsort(runs[at], kind="stable")]
+            seeds, first = np.unique(runs[at], return_index=True)
+            self.seeds[size], self.bounds[size] = seeds, np.append(first, len(at))
+            self.item[size], self.place[size] = owner[at], at - self.starts[owner[at]]
             bits = np.zeros(1 << 16, bool)
-            bits[(self.seeds[s] & np.uint64(0xFFFF)).astype(np.int64)] = True
-            self.bits[s] = bits
-
-
-def tiles(doc: np.ndarray, item: np.ndarray, shared: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
-    """(place in the item, in the document, words) of each tile, from the places (item, doc) of shared seeds."""
-    done_item, done_doc = np.zeros(len(item), bool), np.zeros(len(doc), bool)
-    seeds = set(shared)
-    starts = sorted((i, d) for i, d in seeds if (i - 1, d - 1) not in seeds)
-    heap: list[tuple[int, int, int]] = []  # (-length, item, doc) of maximal matches
-    for i, d in starts:
-        n = size
-        while (i + n - size + 1, d + n - size + 1) in seeds:
-            n += 1
-        heap.append((-n, i, d))
-    heap.sort()
-    found = []
-    while heap:
-        n, i, d = heap.pop(0)
-        n = -n
-        free = ~(done_item[i : i + n] | done_doc[d : d + n])
-        if free.all():
-            done_item[i : i + n] = True
-            done_doc[d : d + n] = True
-            found.append((i, d, n))
-            continue
-        edge = np.flatnonzero(np.diff(np.r_[False, free, False].astype(np.int8)))
-        rest = [(-(int(b) - int(a)), i + int(a), d + int(a)) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= size]
-        if rest:
-            heap = sorted(heap + rest)
+            bits[(seeds & np.uint64(0xFFFF)).astype(np.int64)] = True
+            self.bits[size] = bits
+
+
+class _Windows:
+    """Running Karp-Rabin: the hash of any run of words from sums of powers, modulo 2**64."""
+
+    _base, _back = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+    def __init__(self, hashes: np.ndarray):
+        power = np.cumprod(np.r_[np.uint64(1), np.full(len(hashes), self._base, np.uint64)], dtype=np.uint64)
+        self.sums = np.r_[np.uint64(0), np.cumsum(hashes * power[:-1], dtype=np.uint64)]
+        self.shift = np.cumprod(np.r_[np.uint64(1), np.full(len(hashes), self._back, np.uint64)], dtype=np.uint64)
+        self.marked = np.zeros(len(hashes), bool)
+
+    def free(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places of runs of this size without a marked word, and their hashes."""
+        n = len(self.marked) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        taken = np.r_[0, np.cumsum(self.marked)]
+        at = np.flatnonzero(taken[size:] == taken[:n])
+        return at, (self.sums[at + size] - self.sums[at]) * self.shift[at]
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, size: int, same: Callable[[int, int, int], bool]) -> list[tuple[int, int, int]]:
+    """(place in the item, in the document, words) of each tile of at least `size` words; same(i, d, n) compares the words.
+
+    Longest first: the greatest length that a match of unmarked words has is found by bisection, as a match holds shorter
+    ones; all matches of that length are taken in order, each at its first free place of the document. The lengths add
+    up to the item at most, so there are few different ones.
+    """
+    mine, theirs, found = _Windows(item), _Windows(doc), []
+    common = lambda n: bool(np.isin(mine.free(n)[1], theirs.free(n)[1]).any())
+    longest = min(len(doc), len(item))
+    while longest >= size:
+        if not common(longest):
+            low, high = size - 1, longest  # a match at low, none at high
+            while high - low > 1:
+                middle = (low + high) // 2
+                low, high = (middle, high) if common(middle) else (low, middle)
+            longest = low
+            if longest < size:
+                break
+        (at, of), (places, hashes) = mine.free(longest), theirs.free(longest)
+        order = np.argsort(hashes, kind="stable")
+        places, hashes = places[order], hashes[order]
+        here = np.isin(of, hashes)
+        first, last = np.searchsorted(hashes, of[here]), np.searchsorted(hashes, of[here], "right")
+        reach: dict[int, int] = {}  # where the runs of a hash are used up to
+        behind = -1
+        for i, a, b in zip(at[here].tolist(), first.tolist(), last.tolist(), strict=True):
+            if i < behind:
+                continue
+            k = reach.get(a, a)
+            while k < b and theirs.marked[places[k] : places[k] + longest].any():
+                k += 1
+            reach[a] = k
+            for d in places[k:b].tolist():
+                if not theirs.marked[d : d + longest].any() and same(i, d, longest):
+                    mine.marked[i : i + longest] = theirs.marked[d : d + longest] = True
+                    found.append((i, d, longest))
+                    behind = i + longest
+                    break
+        longest -= 1
     return found
 
 
 def leaks_in(texts: list[str | None], items: Items, cover: float) -> list[tuple[int, int, int, int, int]]:
     """(text, item, words of the item, words covered, tiles) for every leaked item of every text."""
-    flat, starts = flat_hashes([normal_words(t) for t in texts])
+    parts = [normal_words(t) for t in texts]
+    flat, starts = flat_hashes(parts)
     found = []
     for size in items.sizes:
         runs = grams(flat, size)
         near = items.bits[size][(runs & np.uint64(0xFFFF)).astype(np.int64)]
         near &= inside(starts, size, len(runs))
         places = np.flatnonzero(near)
-        places = places[np.isin(runs[places], items.seeds[size])]
-        texts_of = np.searchsorted(starts, places, "right") - 1
-        shared: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for place, t in zip(places.tolist(), texts_of.tolist(), strict=True):
-            for k, at in items.index[size][int(runs[place])]:
-                shared.setdefault((t, k), []).append((at, place - int(starts[t])))
-        for (t, k), pairs in shared.items():
-            item = items.hashes[k]
-            # no tiling can cover words that no shared seed holds
-            held = np.zeros(len(item), bool)
-            for at in {a for a, _ in pairs}:
-                held[at : at + size] = True
-            if held.sum() < cover * len(item):
+        seeds, bounds = items.seeds[size], items.bounds[size]
+        number = np.minimum(np.searchsorted(seeds, runs[places]), len(seeds) - 1)
+        hit = seeds[number] == runs[places]
+        text = np.searchsorted(starts, places[hit], "right") - 1
+        held = np.unique(text * len(seeds) + number[hit])  # each seed of a text once
+        if not len(held):
+            continue
+        text, number = held // len(seeds), held % len(seeds)
+        n = bounds[number + 1] - bounds[number]
+        at = np.repeat(bounds[number] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        pair, place = np.repeat(text, n) * len(items.ids) + items.item[size][at], items.place[size][at]
+        order = np.lexsort((place, pair))
+        pair, place = pair[order], place[order]
+        # no tiling can cover words that no shared seed holds
+        step = np.minimum(size, np.where(np.r_[pair[1:] == pair[:-1], False], np.diff(np.r_[place, 0]), size))
+        begin = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        most = np.add.reduceat(step, begin)
+        for t, k, words in zip((pair[begin] // len(items.ids)).tolist(), (pair[begin] % len(items.ids)).tolist(), most.tolist(), strict=True):
+            length = int(items.lengths[k])
+            if words < cover * length:
                 continue
-            marked = tiles(flat[starts[t] : starts[t + 1]], item, pairs, size)
-            words = sum(n for _, _, n in marked)
-            if words >= cover * len(item):
-                found.append((t, k, len(item), words, len(marked)))
+            item, item_words = items.hashes[items.starts[k] : items.starts[k + 1]], items.words[k].split()
+            same = lambda i, d, n: item_words[i : i + n] == parts[t][d : d + n]  # noqa: B023, E731
+            marked = tiles(flat[starts[t] : starts[t + 1]], item, size, same)
+            covered = sum(n for _, _, n in marked)
+            if covered >= cover * length:
+                found.append((t, k, length, covered, len(marked)))
     return found
 
 
@@ -150,15 +199,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFr
                 yield pa.record_batch([ids, names, *counts, share], names=["doc_id", "item_id", "item_words", "covered_words", "n_tiles", "coverage"])
 
         item_type = pa.string() if kinds["item_id"] == "string" else pa.int32() if kinds["item_id"] == "int" else pa.int64()
-        part = docs.select("doc_id", "text").mapInArrow(find, schema)
+        part = durable(docs.select("doc_id", "text").mapInArrow(find, schema), "leaks")
+        sent.destroy()
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """The documents that leak no item, with all their columns, in one pass for each block and without a shuffle."""
-    spark = docs.sparkSession
+    """The documents that leak no item, with all their columns, in one pass for each block and without a shuffle.
+
+    What a block leaves is written before the next is sent, so that one block is with the executors at a time."""
+    spark, last = docs.sparkSession, None
     for block in blocks(benchmark):
+        if last is not None:
+            docs = durable(docs, "unleaked")
+            last.destroy()
         sent = spark.sparkContext.broadcast(Items(block))
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -167,5 +222,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -
                 bad = {r[0] for r in leaks_in(texts, sent.value, cover)}
                 yield part.filter(pa.array([k not in bad for k in range(part.num_rows)]))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs, last = docs.mapInArrow(keep, docs.schema), sent
     return docs
