@@ -31,15 +31,15 @@ from pyspark.sql import DataFrame, functions as F
 from weftgraph.llm.langid import fold
 from weftgraph.llm.minhash import shingle_sets
 from weftgraph.llm.store import durable
-from weftgraph.llm.words import slices
+from weftgraph.llm.words import only_one, slices
 
 FOLDS, HELD_OUT = 3, 1
 FIT_ROWS = 10_000
-CANDIDATES = 20_000
 BASE = 0.02
 CUTOFF = 0.7
 PREFIXES = (4, 5, 6)
 CACHE = 300_000
+RUN = 8  # a longer run of one character is read as one of this length
 COVERS = 3  # features that a toxic row is marked by before it counts as done
 
 # What a sign can stand for, the marks that set letters apart, letters beyond a-z with a class of their own.
@@ -50,7 +50,9 @@ ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßœš
 CLASSES = 64
 _class = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz" + ACCENTED, 1)}
 _spaced = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
-_disguised = re.compile(r"[^\W\d_]\S*[0-9@$!|+€(*]+\S*[^\W\d_]|^[0-9@$!|+€(]+[^\W\d_]|[^\W\d_]{2}[0-9@$|+€]+$|([^\W\d_])\1\1|^[^\W\d_](?:[.\-_*~][^\W\d_]){2,}")
+_letter, _sign = re.compile(r"[^\W\d_]"), re.compile(r"[0-9@$!|+€(*]")
+_disguised = re.compile(r"^[0-9@$!|+€(]+[^\W\d_]|[^\W\d_]{2}[0-9@$|+€]+$|([^\W\d_])\1\1|^[^\W\d_](?:[.\-_*~][^\W\d_]){2,}")
+_runs = re.compile(rf"(.)\1{{{RUN},}}", re.DOTALL)
 _edge = "\"'()[]{}<>,;:?.!-_*~ "
 
 
@@ -83,45 +85,59 @@ def trigram_logs(docs: DataFrame) -> np.ndarray:
     return np.log(n / n.sum(axis=2, keepdims=True)).astype(np.float32)
 
 
-def _arcs(token: str) -> list[list[tuple[str, int, float]]]:
-    """For each place of the token its arcs: what is emitted, where the arc ends, its cost."""
-    arcs: list[list[tuple[str, int, float]]] = []
-    for i, c in enumerate(token):
-        here: list[tuple[str, int, float]] = []
-        run = 1
-        while i + run < len(token) and token[i + run] == c:
-            run += 1
-        if c.isalpha():
-            here.append((c, i + 1, 0.0 if run < 3 else -4.0))
-            if run >= 3:
-                here += [(c, i + run, -0.5), (c + c, i + run, -1.0)]
-        else:
-            here += [(letter, i + 1, -1.0) for letter in LOOKALIKES.get(c, "")]
-            if c in MARKS or c in "!":
-                here.append(("", i + run, -0.5))
-            here.append((" ", i + 1, -3.0))
-        arcs.append(here)
-    return arcs
+def disguised(token: str) -> bool:
+    """Whether a token has a sign between letters, a sign before or after them, a held letter or letters set apart."""
+    if " " in token:
+        return True
+    first = _letter.search(token)
+    sign = first and _sign.search(token, first.end())
+    return bool(sign and _letter.search(token, sign.end()) or _disguised.search(token))
+
+
+def _arcs(c: str, i: int, run: int) -> list[tuple[str, int, float]]:
+    """The arcs from place i, where a run of `run` characters c begins: what is emitted, where the arc ends, its cost."""
+    if c.isalpha():
+        here = [(c, i + 1, 0.0 if run < 3 else -4.0)]
+        return [*here, (c, i + run, -0.5), (c + c, i + run, -1.0)] if run >= 3 else here
+    here = [(letter, i + 1, -1.0) for letter in LOOKALIKES.get(c, "")]
+    if c in MARKS or c == "!":
+        here.append(("", i + run, -0.5))
+    return [*here, (" ", i + 1, -3.0)]
 
 
 def restore(token: str, logs: np.ndarray) -> str:
-    """The most likely plain form of a disguised token."""
-    arcs = _arcs(token)
-    best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(token) + 1)]
-    best[0][0, 0] = (0.0, "")
-    for i, here in enumerate(arcs):
-        for (a, b), (score, text) in best[i].items():
+    """The most likely plain form of a disguised token.
+
+    Runs are cut to RUN characters first. States hold a chain of what was emitted, shared by all that go on from it, and
+    only those of the next RUN places are kept, so time and memory are linear in the token.
+    """
+    token = _runs.sub(lambda m: m[1] * RUN, token)
+    run = [1] * (len(token) + 1)
+    for i in range(len(token) - 2, -1, -1):
+        run[i] = run[i + 1] + 1 if token[i] == token[i + 1] else 1
+    waiting: dict[int, dict[tuple[int, int], tuple[float, tuple | None]]] = {0: {(0, 0): (0.0, None)}}
+    for i, c in enumerate(token):
+        here = _arcs(c, i, run[i])
+        for (a, b), (score, chain) in waiting.pop(i, {}).items():
             for emitted, end, cost in here:
                 x, y, s = a, b, score + cost
-                for c in emitted:
-                    z = _class.get(c, 0 if c == " " else CLASSES - 1)
+                for e in emitted:
+                    z = _class.get(e, 0 if e == " " else CLASSES - 1)
                     s += float(logs[x, y, z])
                     x, y = y, z
-                old = best[end].get((x, y))
+                states = waiting.setdefault(end, {})
+                old = states.get((x, y))
                 if old is None or s > old[0]:
-                    best[end][x, y] = (s, text + emitted)
-    ended = [(s + float(logs[a, b, 0]), text) for (a, b), (s, text) in best[-1].items()]
-    return max(ended)[1].strip() if ended else token
+                    states[x, y] = (s, (chain, emitted))
+    ended = waiting.get(len(token))
+    if not ended:
+        return token
+    (_, _), (_, chain) = max(ended.items(), key=lambda e: (e[1][0] + float(logs[e[0][0], e[0][1], 0]), e[0]))
+    parts = []
+    while chain is not None:
+        chain, emitted = chain
+        parts.append(emitted)
+    return "".join(reversed(parts)).strip()
 
 
 def _hash(kind: str, value: str) -> int:
@@ -138,7 +154,7 @@ def _forms(token: str, logs: np.ndarray) -> list[str]:
     """The words that a token may be: itself without edges and, if disguised, its restored form."""
     plain = token.strip(_edge)
     found = [plain] if plain else []
-    if " " in token or _disguised.search(token):
+    if disguised(token):
         found += [w for w in restore(token, logs).split() if w and w != plain]
     return found
 
@@ -169,15 +185,9 @@ class Reader:
         return out
 
 
-_readers: dict[str, Reader] = {}
-
-
 def _reader(tag: str, logs: np.ndarray, keep: set[int] | None) -> Reader:
-    """This worker's reader for a model; a new model takes the place of the one before."""
-    if tag not in _readers:
-        _readers.clear()
-        _readers[tag] = Reader(logs, keep)
-    return _readers[tag]
+    """This worker's reader for a model."""
+    return only_one(f"toxicity {tag}", lambda: Reader(logs, keep))
 
 
 def sample_labels(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
@@ -236,10 +246,16 @@ def learn(docs: DataFrame, labels: DataFrame, logs: np.ndarray) -> dict[int, flo
     toxic = F.count_if(F.col("toxic") == 1)
     counted = read_rows.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(toxic.alias("a"), F.count("*").alias("n"))
     good = counted.filter((F.col("a") >= max(2, 0.002 * n[1])) & (F.col("a") >= 0.8 * F.col("n")))
-    best = good.orderBy(F.desc("a"), "n", "f").limit(CANDIDATES).collect()
-    counts = {r["f"]: (r["a"], r["n"] - r["a"]) for r in best}
-    wanted = docs.sparkSession.createDataFrame([(list(counts),)], "wanted array<long>")
-    held = read_rows.filter("toxic = 1").crossJoin(F.broadcast(wanted)).select("group", F.array_intersect("features", "wanted").alias("f"))
+    # each stands in 0.2 % of the toxic rows at least, so they are at most 500 times the features of a row
+    counts = {r["f"]: (r["a"], r["n"] - r["a"]) for r in good.collect()}
+    wanted = docs.sparkSession.sparkContext.broadcast(np.array(sorted(counts), np.int64))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [x.values.to_numpy()[np.isin(x.values.to_numpy(), wanted.value)] for x in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(held, pa.list_(pa.int64()))], names=["group", "f"])
+
+    held = read_rows.filter("toxic = 1").select("group", "features").mapInArrow(choose, "group long, f array<long>")
     return cover([(r["group"], set(r["f"])) for r in held.toLocalIterator()], counts)
 
 
