@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from weftgraph.llm import chat
@@ -36,3 +38,25 @@ def test_ties_repeats_and_empty(spark):
     got = {r["conv_id"]: [t["text"] for t in r["turns"]] for r in chat.read_back(chat.format_chats(chat.turn_events(rows))).collect()}
     assert got == {None: ["a", "a", "b"], 7: ["q"]}
     assert chat.read_back(chat.format_chats(chat.turn_events(rows.limit(0)))).collect() == []
+
+
+def test_turns_come_from_logs_of_all_kinds(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"text {c} {t} é\U0001f600"[: 3 * t]) for c in range(3) for t in range(6)]
+    events = chat.turn_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r["kind"] for r in events.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    folded = chat.fold_messages(events.repartition(5)).collect()
+    assert sorted((r[0], r[1] - 1, r[2], r[3]) for r in folded) == sorted(rows)
+
+
+def test_fold_against_loop(spark):
+    rng, log, expected = random.Random(3), [], {}
+    for message in range(40):
+        text = ""
+        for seq in range(rng.randrange(1, 9)):
+            kind, said = rng.choice(["message", "delta", "edit", "regenerate"]), f"{rng.randrange(99)};"
+            text = text + said if kind == "delta" else "" if kind == "regenerate" else said
+            log.append((message % 4, message, seq, kind, "user", said))
+        expected[message] = text
+    rng.shuffle(log)
+    folded = chat.fold_messages(spark.createDataFrame(log, EVENT).repartition(4)).collect()
+    assert {r["message_no"]: r["text"] for r in folded} == expected

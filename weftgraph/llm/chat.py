@@ -2,7 +2,7 @@ r"""Chat formatting by event sourcing: logs are folded into final messages, and
 
 An event is (conv_id, message_no, seq, kind, role, text). Within a message events apply in the order of seq:
 `message` and `edit` set the text, `delta` appends to it, `regenerate` empties it. Everything stays in DataFrame
-operations; what is gathered in one row is one conversation, which is the unit of the result.
+operations; what is gathered in one row is one conversation, which is the unit of the result, and so must fit in a task.
 
 The template writes each turn as `### <role>:\n<text></turn>\n`. Within a text every backslash is doubled, `###` is
 broken up as `#\##` and `</turn>` as `<\/turn>`; dropping the backslash before any character reverses it. Roles are
@@ -31,16 +31,27 @@ def unescape(text: Column) -> Column:
 
 
 def turn_events(rows: DataFrame) -> DataFrame:
-    """Every row of (conv_id, turn, role, text) as the one event of its own message."""
+    """An event log that folds into the rows (conv_id, turn, role, text), as a chat service would have kept it.
+
+    By turns a message is streamed in two deltas, streamed and broken off to be generated again, or posted short and edited.
+    Events are given last first; only their seq says in which order they happened.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return rows.select(
-        "conv_id",
-        F.row_number().over(order).cast("long").alias("message_no"),
-        F.lit(0).cast("long").alias("seq"),
-        F.lit("message").alias("kind"),
-        "role",
-        "text",
-    )
+    text = F.coalesce("text", F.lit(""))
+    half = (F.length("text") / 2).cast("int")
+    named = rows.select("conv_id", F.row_number().over(order).cast("long").alias("message_no"), "role", text.alias("text"))
+    left, right = F.col("text").substr(F.lit(1), half), F.col("text").substr(half + 1, F.length("text"))
+
+    def log(*events: tuple[str, Column]) -> Column:
+        made = [F.struct(F.lit(n).cast("long").alias("seq"), F.lit(kind).alias("kind"), said.alias("said")) for n, (kind, said) in enumerate(events)]
+        return F.array(*reversed(made))
+
+    none, way = F.lit(""), F.col("message_no") % 3
+    streamed = log(("message", none), ("delta", left), ("delta", right))
+    again = log(("message", none), ("delta", right), ("delta", left), ("regenerate", none), ("delta", left), ("delta", right))
+    edited = log(("message", left), ("edit", F.col("text")))
+    events = named.select("conv_id", "message_no", "role", F.explode(F.when(way == 0, streamed).when(way == 1, again).otherwise(edited)).alias("e"))
+    return events.select("conv_id", "message_no", "e.seq", "e.kind", "role", F.col("e.said").alias("text"))
 
 
 def fold_messages(events: DataFrame) -> DataFrame:
