@@ -1,5 +1,6 @@
 import numpy as np
 
+import slow_mix
 from weftgraph.llm import mixing
 
 
@@ -33,3 +34,13 @@ def test_expected_shares(spark):
 
 def test_empty_table(no_docs):
     assert mixing.mix(no_docs).collect() == [] and mixing.sample(no_docs).collect() == []
+
+
+def test_query_against_brute_force(docs):
+    rows = [r.asDict() for r in docs.collect()]
+    chance = slow_mix.chances(rows)
+    assert sum(slow_mix.draw(r["doc_id"]) < chance[slow_mix.place(r)[0]] for r in rows) > 10
+    expected = sorted((str(r["doc_id"]), *slow_mix.place(r)[0], slow_mix.place(r)[1], round(chance[slow_mix.place(r)[0]], 9)) for r in rows)
+    found = mixing.mix(docs).collect()
+    assert sorted((str(r["doc_id"]), r["source"], r["lang"], r["topic"], r["n_tokens"], round(r["probability"], 9)) for r in found) == expected
+    assert sorted(str(r["doc_id"]) for r in found if r["sampled"]) == sorted(str(r["doc_id"]) for r in slow_mix.sample(rows))
