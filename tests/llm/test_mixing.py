@@ -44,3 +44,12 @@ def test_query_against_brute_force(docs):
     found = mixing.mix(docs).collect()
     assert sorted((str(r["doc_id"]), r["source"], r["lang"], r["topic"], r["n_tokens"], round(r["probability"], 9)) for r in found) == expected
     assert sorted(str(r["doc_id"]) for r in found if r["sampled"]) == sorted(str(r["doc_id"]) for r in slow_mix.sample(rows))
+
+
+def test_many_cells_are_fitted_alike(docs, monkeypatch):
+    key = lambda r: (str(r["doc_id"]), r["source"], r["lang"], r["topic"], round(r["cell_weight"], 9), round(r["probability"], 9), r["sampled"])
+    for targets in (None, {"source": {"s0": 0.7, "s1": 0.3, "gone": 1.0}}):
+        near = sorted(map(key, mixing.mix(docs, targets, 0.3).collect()))
+        monkeypatch.setattr(mixing, "FIT_CELLS", 3)
+        assert sorted(map(key, mixing.mix(docs, targets, 0.3).collect())) == near
+        monkeypatch.undo()

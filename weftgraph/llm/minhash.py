@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weftgraph.llm.store import durable
+from weftgraph.llm.store import durable, drop
 from weftgraph.llm.words import flat_hashes, grams, inside, mix, slices, split_lower
 
 SHINGLE = 5
@@ -214,9 +214,10 @@ def components(edges: DataFrame) -> DataFrame:
     left = durable(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
     labels = None
     while not left.isEmpty():
+        edges_before, labels_before = left, labels
         # b > a always, so each b takes its least a; an a keeps its label unless it is also a b
         hop = left.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("c"))
-        hop = durable(hop, "cc-hop")
+        hop = first = durable(hop, "cc-hop")
         for _ in range(4):
             up = hop.select(F.col("v").alias("c"), F.col("c").alias("up"))
             hop = hop.join(up, "c", "left").select("v", F.coalesce("up", "c").alias("c"))
@@ -233,6 +234,9 @@ def components(edges: DataFrame) -> DataFrame:
             left = left.join(to, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
         left = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         left = durable(left.filter("a <> b").distinct(), "cc-edges")
+        for gone in (first, hop, labels_before, edges_before):  # nothing refers to them any more
+            if gone is not None:
+                drop(gone)
     if labels is None:
         return edges.select(F.col("a").alias("v"), F.col("b").alias("c")).limit(0)
     return labels

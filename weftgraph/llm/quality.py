@@ -4,7 +4,8 @@ Sequential covering: conjunctions of thresholds are grown by FOIL gain towards l
 does not lower their precision, and what an accepted rule covers is taken away before the next is grown. The list is
 emitted as one ordered CASE expression. Learning reads a contingency table of the labelled rows: every statistic is
 cut at a few quantiles of all labelled rows, so the table has at most CUTS+1 to the power of the statistics' number
-of cells, whatever the size of the input.
+of cells, whatever the size of the input. CUTS, at most 12 rules and at most 3 conditions in a rule set the size of the model,
+so that it stays readable; they leave out no row of the labels or the documents.
 
 Defined cases: a null or empty text has zero in every count and fails the base rule; repeated doc_ids are judged
 row by row; labels that are null or whose doc_id is not in the documents are not learned from; a doc_id with several
