@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftgraph.llm.store import durable
-from weftgraph.llm.words import only_one, slices
+from weftgraph.llm.words import only_one, runs_of, slices
 
 FOLDS, HELD_OUT = 4, 2
 LONGEST_TABLE = 200  # words with more characters are summed one by one, in logarithms
@@ -306,10 +306,9 @@ def train(docs: DataFrame, path: str, steps: int = 2, smooth: float = 0.05) -> M
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             v, number, total = Vocabulary.at(path), {x: i for i, x in enumerate(langs)}, np.zeros((Vocabulary.at(path).size, len(langs)))
-            for batch in batches:
-                lang, word, n = (batch.column(i).to_pylist() for i in range(3))
-                if word:
-                    total += expected_counts(word, np.array([number[a] for a in lang]), np.array(n, float), v, sent.value)
+            for run in runs_of(batches, 20_000):
+                lang, word, n = (run.column(i).to_pylist() for i in range(3))
+                total += expected_counts(word, np.array([number[a] for a in lang]), np.array(n, float), v, sent.value)
             piece, column = np.nonzero(total)
             yield pa.record_batch([pa.array(piece, pa.int64()), pa.array(column, pa.int64()), pa.array(total[piece, column])], names=["piece", "lang", "n"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -10,11 +11,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 3_000_000
-TABLE_SIZE = 400_000
-
+SLICE_BYTES = 1_500_000
+TABLE_SIZE = 300_000
 
 _one: dict[str, object] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
 
 
 def only_one(name: str, make: Callable[[], object]) -> object:
@@ -25,15 +26,19 @@ def only_one(name: str, make: Callable[[], object]) -> object:
     return _one[name]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on beside the executor, and both count towards one limit."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
-_hashes = _Hashes()
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in runs of about `limit` bytes of `column`, each of one row at least."""
     for batch in batches:
@@ -48,6 +53,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(start + 1, int(np.searchsorted(ends, run + limit, "right")))
             yield batch.slice(start, stop - start)
             run, start = int(ends[stop - 1]), stop
+        give_back()
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The rows of the batches in tables of `rows` rows at least, but the last."""
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+            give_back()
+    if n:
+        yield pa.Table.from_batches(held)
 
 
 def split(text: str | None) -> list[bytes]:
@@ -64,9 +83,10 @@ def flat_hashes(parts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of all texts in one array, and where each text's words begin (and the end)."""
     starts = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) for p in parts], out=starts[1:])
-    if len(_hashes) > TABLE_SIZE:
-        _hashes.clear()
-    flat = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(parts)), np.uint64, int(starts[-1]))
+    known = only_one("hashes", _Hashes)
+    if len(known) > TABLE_SIZE:
+        known.clear()
+    flat = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), np.uint64, int(starts[-1]))
     return flat, starts
 
 
