@@ -9,11 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that a Python worker is sent at once where the session has Spark's default of 10,000: texts may be long.
+BATCH_ROWS = 2_000
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package's sources to the executors, once for each application."""
+    """Send the package's sources to the executors, once for each application, and bound what a worker is sent at once."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
         path = Path(tempfile.mkdtemp(prefix="weftgraph-")) / "weftgraph.zip"
