@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import chain, pairwise
 from operator import or_
 from urllib.parse import unquote, urlsplit
 
@@ -27,18 +28,8 @@ def prefix_match(text: Column, pattern: str) -> Column:
 
 
 def glob_regex(glob: str) -> str:
-    """A shell pattern over the whole text: `*` takes anything, slashes too, `?` one character, `[...]` one of a set."""
-    out, at = [], 0
-    while at < len(glob):
-        c, close = glob[at], glob.find("]", at + 2)
-        if c == "[" and close > 0:
-            inner = glob[at + 1 : close].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
-            out.append("[" + ("^" + inner[1:] if inner[0] == "!" else inner) + "]")
-            at = close + 1
-            continue
-        out.append(".*" if c == "*" else "." if c == "?" else re.escape(c))
-        at += 1
-    return f"(?s)^{''.join(out)}$"
+    """A shell pattern over the whole text."""
+    return f"(?s)^{urls.glob_body(glob)}$"
 
 
 @dataclass(frozen=True)
@@ -137,35 +128,44 @@ class Win:
 # ---- robots.txt
 
 
-def robots_groups(text: str) -> list[tuple[list[str], list[tuple[bool, str]]]]:
-    """(agents, [(allow, pattern)]) of each group; neighbouring agent lines share one, a sitemap line ends none."""
-    groups: list[tuple[list[str], list[tuple[bool, str]]]] = []
-    naming = False
-    for line in (text or "").splitlines():
-        key, colon, value = line.split("#", 1)[0].partition(":")
-        key, value = key.strip().lower(), value.strip()
-        if not colon or key == "sitemap":
-            continue
-        if key == "user-agent":
-            if not naming:
-                groups.append(([], []))
-            groups[-1][0].append(value.lower())
-            naming = True
-            continue
-        naming = False
-        if key in ("allow", "disallow") and groups and value:
-            groups[-1][1].append((key == "allow", value))
-    return groups
+_RECORD = re.compile(r"^[^\S\n]*([\w-]+)[^\S\n]*:[^\S\n]*([^#\n]*?)[^\S\n]*(?:#.*)?$", re.MULTILINE)
+
+
+@dataclass(frozen=True)
+class RobotsGroup:
+    agents: frozenset[str]
+    rules: tuple[tuple[bool, str], ...]  # (allow, pattern)
+
+    def names(self, agent: str) -> bool:
+        """Whether an agent of the group, other than the one for all, is part of this one's name."""
+        return any(a in agent.lower() for a in self.agents - {"*"})
+
+
+def robots_groups(text: str) -> list[RobotsGroup]:
+    """A group begins with a run of agent records; sitemaps stand outside of all groups."""
+    lines = (text or "").replace("\r\n", "\n").replace("\r", "\n")
+    records = [(m[1].lower(), m[2]) for m in _RECORD.finditer(lines) if m[1].lower() != "sitemap"]
+    agent = [key == "user-agent" for key, _ in records]
+    begins = [k for k, here in enumerate(agent) if here and not (k and agent[k - 1])]
+    parts = [records[a:b] for a, b in pairwise([*begins, len(records)])]
+    return [
+        RobotsGroup(
+            frozenset(value.lower() for key, value in part if key == "user-agent"),
+            tuple((key == "allow", value) for key, value in part if key in ("allow", "disallow") and value),
+        )
+        for part in parts
+    ]
 
 
 def robots_rules(text: str, agent: str) -> list[tuple[bool, str]]:
-    groups, agent = robots_groups(text), agent.lower()
-    named = [r for a, r in groups if any(x != "*" and x and x in agent for x in a)]
-    return [rule for part in (named or [r for a, r in groups if "*" in a]) for rule in part]
+    """The rules of all groups that name the agent, or where there is none, of those for all."""
+    groups = robots_groups(text)
+    chosen = [g for g in groups if g.names(agent)] or [g for g in groups if "*" in g.agents]
+    return list(chain.from_iterable(g.rules for g in chosen))
 
 
 def robots_named(text: str, bot: str) -> bool:
-    return any(bot.lower() in a for a, _ in robots_groups(text))
+    return any(g.names(bot) for g in robots_groups(text))
 
 
 def robots_allowed(url: Column, rules: list[tuple[bool, str]]) -> Column:

@@ -208,8 +208,7 @@ SELECT mode, loop, count(*) AS pages, string_agg(node, ' ' ORDER BY node) AS mem
     "path_overlap_jaccard": _PATH_SQL.format(graph=GRAPH_SQL)
     + """SELECT x.start AS a, y.start AS b, len(list_intersect(x.path, y.path))::BIGINT AS n_common,
   round_even(len(list_intersect(x.path, y.path)) / len(list_distinct(list_concat(x.path, y.path))), 3) AS jaccard
-FROM best x JOIN best y ON x.mode = 'all_links' AND y.mode = 'all_links' AND x.start < y.start
-WHERE regexp_matches(x.start, '^[0-9]:') AND regexp_matches(y.start, '^[0-9]:')""",
+FROM best x JOIN best y ON x.mode = 'all_links' AND y.mode = 'all_links' AND x.start < y.start""",
     "longest_paths": f"""
 WITH RECURSIVE {GRAPH_SQL},
   grow(start, node, path, n) AS (SELECT url, url, [url], 0 FROM entries UNION ALL

@@ -36,7 +36,7 @@ FROM s WHERE 3 * t + 2 * h + least(b, 5) >= 3
 """
 
 _TOPIC_TESTS = {"Joining": ["and", "und"], "Pointing": ["the", "der", "la"], "Ending": ["tion*"]}
-_TOPIC_FIELDS = {"title": "left(text, 40)", "h1": "lang", "breadcrumb": "''", "nav_label": "split_part(text, chr(10), -1)", "url_path": "source"}
+_TOPIC_FIELDS = {"title": "split_part(text, chr(10), 1)", "h1": "lang", "breadcrumb": "''", "nav_label": "substr(text, length(split_part(text, chr(10), 1)) + 2)", "url_path": "source"}
 
 
 def _topics() -> str:
@@ -60,7 +60,7 @@ WITH kinds AS (SELECT p_partkey, p_type || '_' || p_size::VARCHAR AS kind FROM p
   numbered AS (SELECT kind, leads, length(kind) AS c FROM counts),
   tags AS (SELECT CASE c % 4 WHEN 1 THEN kind || '_123456' WHEN 2 THEN 'NONE_' || kind ELSE kind END AS lead_tag, leads, 'https://s.example/' || (c % 7) AS main FROM numbered),
   carriers AS (SELECT DISTINCT kind AS tag, 's' || l_suppkey AS src, 'https://s.example/' || (l_suppkey % 7) AS url, CASE WHEN l_linenumber > 3 THEN 'nav' ELSE 'body' END AS region
-    FROM sold WHERE l_suppkey % 10 = l_linenumber),
+    FROM sold),
   stripped AS (SELECT *, regexp_replace(lead_tag, '_[0-9]{5,7}$', '') AS s FROM tags),
   joined AS (SELECT t.lead_tag, t.leads, t.main, c.*, CASE WHEN t.lead_tag = c.tag THEN 'exact' ELSE 'fallback' END AS join_type
     FROM stripped t JOIN carriers c ON regexp_replace(c.tag, '_[0-9]{5,7}$', '') = t.s),
