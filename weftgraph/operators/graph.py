@@ -36,7 +36,9 @@ def build_graph(pages: DataFrame, links: DataFrame) -> Graph:
         F.array_sort(F.collect_set(F.when(~F.col("operator"), F.col("region")))).alias("regions"),
         F.bool_or("operator").alias("operator"),
     )
-    known = pages.dropDuplicates(["url"])
+    # of rows with one URL the first by all other columns stays
+    place = F.row_number().over(Window.partitionBy("url").orderBy(*(F.to_json(F.struct(c)) for c in pages.columns if c != "url"), F.lit(0)))
+    known = pages.withColumn("__n", place).filter("__n = 1").drop("__n")
     urls = edges.select(F.explode(F.array("src", "dst")).alias("url")).distinct()
     extra = urls.join(known.select("url"), "url", "left_anti")
     nodes = known.unionByName(extra, allowMissingColumns=True)
@@ -105,12 +107,13 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return levels(edges, starts).select("label", "node")
 
 
-def click_depths(graph: Graph, home: DataFrame, through_wins: bool = True) -> DataFrame:
+def click_depths(graph: Graph, home: DataFrame, through_wins: bool = True, labels: tuple[str, ...] = ("all", "body")) -> DataFrame:
     """(label in all/body, node, d) from home(node). Operator edges have no region and do not count."""
     rows = graph.edges if through_wins else terminal(graph.edges, graph)
-    hit = F.array(F.when(F.size("regions") > 0, "all"), F.when(in_body(), "body"))
+    tests = {"all": F.size("regions") > 0, "body": in_body()}
+    hit = F.array(*(F.when(tests[label], label) for label in labels))
     edges = rows.select(F.explode(F.array_compact(hit)).alias("label"), "src", "dst")
-    return levels(edges, home.withColumn("label", F.explode(F.array(F.lit("all"), F.lit("body")))))
+    return levels(edges, home.withColumn("label", F.explode(F.array(*map(F.lit, labels)))))
 
 
 def win_type_distances(graph: Graph) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from weftgraph.functions.urls import archetype_of, clean_tag, conversion_url, strip_suffix
 from weftgraph.operators.frontier import resolve
 
+# Fixed value: the name of the row for small counts.
 OTHER = "(other, <{n} leads)"
 
 
@@ -52,10 +53,10 @@ def sorted_attribution(attribution: DataFrame) -> DataFrame:
 
 
 def node_leads(attribution: DataFrame) -> DataFrame:
-    """(url, leads, exact_leads, leads_whole) of each page; the whole number allows for rounding errors."""
+    """(url, leads, exact_leads, leads_whole) of each page; the whole number allows for rounding errors, which sums in any order have."""
     exact = F.sum(F.when(F.col("attribution") == "exact", F.col("share")).otherwise(0.0))
     grouped = attribution.groupBy(F.col("src").alias("url")).agg(F.sum("share").alias("leads"), exact.alias("exact_leads"))
-    return grouped.withColumn("leads_whole", F.floor(F.col("leads") + 1e-9))
+    return grouped.withColumn("leads_whole", F.floor(F.round("leads", 6) + 1e-9))
 
 
 def edge_leads(attribution: DataFrame, edges: DataFrame) -> DataFrame:
@@ -99,7 +100,7 @@ def archetypes(carriers: DataFrame, attribution: DataFrame, wins: DataFrame, pat
     win = rows.join(wins.select("url", F.lit(True).alias("is_win")), "url", "left")
     counts = win.groupBy("archetype").agg(F.countDistinct("tag").alias("tags"), F.countDistinct("src").alias("pages"), F.countDistinct(F.when(F.col("is_win"), F.col("src"))).alias("win_pages"))
     parts = attribution.select((F.col("share") / F.size("tags")).alias("part"), F.explode("tags").alias("tag")).withColumn("archetype", kind)
-    sums = parts.groupBy("archetype").agg(F.floor(F.sum("part") + 1e-9).alias("leads"))
+    sums = parts.groupBy("archetype").agg(F.floor(F.round(F.sum("part"), 6) + 1e-9).alias("leads"))
     return counts.join(sums, "archetype", "left").fillna(0, ["leads"])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftgraph.operators import graph as g
+from weftgraph.operators import compare, graph as g
 from weftgraph.plans.journey import GRAPH_SQL, journey_graph
 from weftgraph.storage import durable
 
@@ -30,7 +30,7 @@ def clicks_to_win_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _from_home(spark: SparkSession, sf_dir: str, label: str, through_wins: bool) -> DataFrame:
     graph, entries = journey_graph(spark, sf_dir)
-    depths = g.click_depths(graph, entries.select(F.col("url").alias("node")), through_wins).filter(F.col("label") == label)
+    depths = g.click_depths(graph, entries.select(F.col("url").alias("node")), through_wins, (label,))
     return depths.groupBy(F.col("d").cast("long").alias("clicks")).agg(F.count("*").alias("pages"))
 
 
@@ -107,18 +107,11 @@ def top_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, _ = journey_graph(spark, sf_dir)
     dist = g.distances_to_win(graph)
-    pages = graph.nodes.filter("explored").select(F.col("url").alias("node")).crossJoin(F.broadcast(dist.select("label").distinct()))
-    joined = pages.join(dist, ["label", "node"], "left")
-    at = lambda q: F.expr(f"percentile_disc({q}) within group (order by d)").cast("long")
-    return joined.groupBy(F.col("label").alias("mode")).agg(
-        F.count("*").alias("pages"),
-        F.count("d").alias("reached"),
-        F.count_if(F.col("d").isNull()).alias("no_route"),
-        F.bround(100 * F.count("d") / F.count("*"), 1).alias("share"),
-        at(0.5).alias("p50"),
-        at(0.9).alias("p90"),
-        F.max("d").cast("long").alias("deepest"),
-    )
+    modes = F.explode(F.array(F.lit(g.ALL_LINKS), F.lit(g.CONTENT_ONLY))).alias("label")
+    joined = graph.nodes.filter("explored").select(F.col("url").alias("node"), modes).join(dist, ["label", "node"], "left")
+    found = compare.distance_summary(joined.withColumnRenamed("label", "mode"), "d", "mode")
+    share = F.bround(100 * F.col("reached") / F.col("pages"), 1).alias("share")
+    return found.select("mode", "pages", "reached", "no_route", share, *(F.col(c).cast("long").alias(c) for c in ("p50", "p90", "deepest")))
 
 
 def frontier_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
