@@ -187,3 +187,16 @@ def knowledge_graph(tags: DataFrame, content_edges: DataFrame, dist: DataFrame)
     clicks = tags.join(dist, "url", "left").groupBy(name.alias("id")).agg(F.bround(F.median("d")).cast("int").alias("clicks")).withColumn("kind", F.lit("entity"))
     nodes = pages.join(dist, "url", "left").select(F.col("url").alias("id"), F.col("d").cast("int").alias("clicks"), F.lit("page").alias("kind"))
     return nodes.unionByName(clicks), mentions.unionByName(links)
+
+
+def tag_summary(pages: DataFrame, tags: DataFrame) -> DataFrame:
+    """(pages, tagged, tags, entities, mean_tags): what tagging the loaded pages gave."""
+    held = tags.join(pages.select("url").distinct(), "url", "left_semi")
+    counts = held.agg(F.count_distinct("url").alias("tagged"), F.count("*").alias("tags"), F.count_distinct("entity_type", "entity").alias("entities"))
+    total = pages.agg(F.count_distinct("url").alias("pages"))
+    return total.join(F.broadcast(counts), F.lit(True)).select("pages", "tagged", "tags", "entities", F.bround(F.col("tags") / F.greatest("tagged", F.lit(1)), 2).alias("mean_tags"))
+
+
+def top_entities(coverage: DataFrame, n: int = 40) -> DataFrame:
+    """The entities of entity_coverage on most pages, and all that are flagged."""
+    return coverage.filter("flag <> ''").unionByName(coverage.filter("flag = ''").orderBy(F.desc("pages_tagged"), "entity_type", "entity").limit(n))

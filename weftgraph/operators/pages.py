@@ -141,6 +141,16 @@ def health_summary(health: DataFrame) -> DataFrame:
     )
 
 
+def health_groups(health: DataFrame, key: str, n: int = 20) -> DataFrame:
+    """(group, pages, dead, title_duplicated, missing_meta_description, h1_missing) by `key`, the largest n, and of pages that carry leads."""
+    both = F.explode(F.array_compact(F.array(F.struct(F.lit(0).alias("kind"), F.col(key).alias("group")), F.when(F.col("carries_leads"), F.struct(F.lit(1).alias("kind"), F.lit("pages carrying leads").alias("group"))))))
+    counted = health.withColumn("g", both).groupBy("g.kind", "g.group").agg(
+        F.count("*").alias("pages"), F.count_if("is_dead").alias("dead"), F.count_if("title_duplicated").alias("title_duplicated"),
+        F.count_if(~F.col("has_meta_description")).alias("missing_meta_description"), F.count_if(F.col("h1_count") == 0).alias("h1_missing"),
+    )
+    return top_by(counted, "kind", n, F.desc("pages"), "group").drop("kind", "rank")
+
+
 def first_link_text(links: DataFrame) -> DataFrame:
     """(src, url, text): the text of the first link between each two pages, by id."""
     return links.groupBy("src", "url").agg(F.min_by("text", "id").alias("text"))

@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftgraph.functions import predicates as p
-from weftgraph.operators import compare, entities, frontier, graph as g, leads, pages as pg, upkeep
+from weftgraph.operators import analysis, compare, entities, frontier, graph as g, leads, pages as pg, upkeep
 from weftgraph.operators.store_graph import graph_from_store
-from weftgraph.plans.graph_queries import _bfs_sql
+from weftgraph.plans.graph_queries import _ZONE_SQL, _bfs_sql
 from weftgraph.plans.journey import GRAPH_SQL, REGIONS, journey_graph, steps
-from weftgraph.plans.page_oracles import _HOST, _JOURNEY, _LEADS, _PATH
-from weftgraph.plans.page_queries import _journey_tags, _lead_view, _read
+from weftgraph.plans.page_oracles import _ENTITIES, _HOST, _JOURNEY, _LEADS, _PATH
+from weftgraph.plans.page_queries import _journey_tags, _lead_view, _read, _tagged
 from weftgraph.sources import html
 from weftgraph.storage import durable
 
@@ -434,3 +434,27 @@ def main_conversion_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     item, part = _read(spark, sf_dir, "lineitem"), _read(spark, sf_dir, "part")
     rows = item.join(part, item["l_partkey"] == part["p_partkey"])
     return leads.main_conversion_pages(rows.select(F.concat_ws("_", "p_type", F.col("p_size").cast("string")).alias("lead_tag"), F.concat(F.lit("s"), "l_suppkey").alias("page"), F.col("l_quantity").alias("leads")))
+
+
+# ---- analyses and summaries
+
+
+@_query(_ZONE_SQL.format(graph=GRAPH_SQL).rstrip() + """,
+  fd(mode, start, node, d) AS (SELECT mode, url, url, 0 FROM entries, modes UNION SELECT f.mode, start, dst, d + 1 FROM fd f JOIN view v ON v.mode = f.mode AND src = node WHERE d < 40)
+SELECT f.mode AS label, f.start, min(f.d)::BIGINT AS clicks FROM fd f JOIN zones z ON z.mode = f.mode AND z.node = f.node AND z.state = 'dead end' GROUP BY f.mode, f.start""")
+def dead_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = analysis.dead_clicks(*journey_graph(spark, sf_dir))
+    return found.select("label", "start", F.col("clicks").cast("long").alias("clicks"))
+
+
+@_query(f"""WITH {_DOC_PAGES}, {_MARKS}, x AS (SELECT h.*, split_part(url, '/', 4) AS section, coalesce(quality = 0, false) AS leads FROM h LEFT JOIN m USING (doc_id)),
+  s AS (SELECT section AS "group", count(*) AS pages, count(*) FILTER (td) AS title_duplicated, count(*) FILTER (meta = '') AS missing_meta_description FROM x GROUP BY section ORDER BY pages DESC, section LIMIT 5)
+SELECT * FROM s UNION ALL SELECT 'pages carrying leads', count(*), count(*) FILTER (td), count(*) FILTER (meta = '') FROM x WHERE leads""")
+def health_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _doc_health(spark, sf_dir).withColumn("section", F.split("url", "/")[3])
+    return pg.health_groups(rows, "section", 5).select("group", "pages", "title_duplicated", "missing_meta_description")
+
+
+@_query(f"""WITH e AS ({_ENTITIES}) SELECT (SELECT count(*) FROM documents) AS pages, count(DISTINCT url) AS tagged, count(*) AS tags, count(DISTINCT entity_type || entity) AS entities, round_even(count(*) / count(DISTINCT url), 2) AS mean_tags FROM e""")
+def tag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.tag_summary(_read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url")), _tagged(spark, sf_dir))
