@@ -1,3 +1,8 @@
+import random
+import re
+
+import pytest
+
 from weftgraph.llm import url_rules
 
 CASES = {
@@ -46,3 +51,37 @@ def test_rules_are_filed_under_their_rarest_token(spark):
 
 def test_empty_table(spark):
     assert url_rules.judge_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
+
+
+def slow_judge(url, rules):
+    """Every rule is tried on the URL."""
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+    host = "".join(c.lower() if c.isascii() else c for c in host)
+    fits = [(r.rank, r.verdict, r.name) for r in rules if re.search(r.regex, host + path)]
+    if not fits:
+        return host, path, None, "allow", None
+    rank, verdict, name = max(fits)
+    return host, path, name if rank >= 1000 else None, verdict, None if rank >= 1000 else name
+
+
+def test_rule_file_against_every_rule(spark):
+    rng = random.Random(2)
+    word = lambda: rng.choice(["news", "shop", "bad", "good", "xxx", "mail", "top", "free", "win", "a1", "b2"])
+    lines = ["# a comment", "", "allow word good  # here too", r"block re:^[^/]*/.*(?:bad|worse)[0-9]+$", r"block re:^[^/]*/(?:.*[^a-z0-9])?xxx-[0-9]+$ xxx"]
+    for _ in range(600):
+        lines.append(rng.choice(["block", "allow"]) + " " + rng.choice([f"{word()}.test/{word()}", f"{word()}.{word()}.test/", f"word {word()}{rng.randrange(9)}", f"path {word()} {word()}", f"path {word()}"]))
+    rules = url_rules.read_rules(lines) + url_rules.DEFAULT_RULES
+    urls = [f"http://{word()}-{word()}{rng.choice(['', '3'])}.{word()}.{rng.choice(['test', 'com', 'org'])}/{word()}{rng.choice('/-_.')}{word()}{rng.choice(['', '7', '-7', '?q=xxx'])}" for _ in range(700)]
+    urls += ["http://m.test/sid=0123456789abcdef01/x", "http://free-a-b-c.net/", "http://u.net/x/top-10-best-things", "http://u.net/Buy-VIAGRA.html", "http://www.spam-farm.net/", None, "", "x://"]
+    found = url_rules.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
+    assert len(found) == len(urls)
+    for r in found:
+        assert tuple(r)[1:] == slow_judge(urls[r["page_id"]], rules), urls[r["page_id"]]
+    assert len({r["pattern"] for r in found}) > 20
+
+
+def test_rule_files_are_checked():
+    for bad in ("deny x.test/", "block", "block re:("):
+        with pytest.raises((ValueError, re.error)):
+            url_rules.read_rules(["allow a.test/", bad])

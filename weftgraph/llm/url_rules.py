@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -39,19 +40,69 @@ def host_rule(rule: str, verdict: str) -> Rule:
 
 def word_rule(word: str, verdict: str = "block") -> Rule:
     """Fits a host with `word` between dots, hyphens or its ends."""
-    return Rule(word, verdict, rf"^(?:[^/]*[.-])?{re.escape(word)}(?:[.-][^/]*)?(?:/|$)", (word,), 0)
-
-
-#: The rules of the registered query.
+    return Rule(word, verdict, rf"^(?:[^/]*[.-])?{re.escape(word)}(?:[.-][^/]*)?(?:/|$)", tuple(re.findall("[a-z0-9]+", word)), 0)
+
+
+def path_rule(words: str, verdict: str = "block") -> Rule:
+    """Fits a path that holds the words, in any case, one after the other with one mark between them, as whole words."""
+    parts = words.split()
+    body = "[^A-Za-z0-9]".join(map(re.escape, parts))
+    return Rule(f"/{words}", verdict, rf"^[^/]*/(?i:(?:.*[^A-Za-z0-9])?{body}(?:[^A-Za-z0-9]|$))", tuple(re.findall("[a-z0-9]+", words)), 0)
+
+
+def pattern_rule(name: str, regex: str, tokens: tuple[str, ...], verdict: str = "block") -> Rule:
+    """A regular expression over host + path. Every URL that it fits must hold the tokens as whole words of a-z and 0-9."""
+    return Rule(name, verdict, regex, tokens, 0)
+
+
+def read_rules(lines: Iterable[str]) -> tuple[Rule, ...]:
+    """Rules of a file: `allow|block host/path`, `... word w`, `... path w w` or `... re:regex token token`; # begins a comment."""
+    found = []
+    for number, line in enumerate(lines, 1):
+        verdict, _, rest = line.split("#", 1)[0].strip().partition(" ")
+        if not verdict:
+            continue
+        kind, _, body = rest.strip().partition(" ")
+        if verdict not in ("allow", "block") or not kind:
+            raise ValueError(f"line {number}: should begin with allow or block and a rule")
+        if kind in ("word", "path"):
+            found.append((word_rule if kind == "word" else path_rule)(body.strip().lower(), verdict))
+        elif kind.startswith("re:"):
+            re.compile(kind[3:])
+            found.append(pattern_rule(kind[3:], kind[3:], tuple(body.lower().split()), verdict))
+        else:
+            found.append(host_rule(kind, verdict))
+    return tuple(found)
+
+
+# The host rules of the registered query.
 HOST_RULES = (
     host_rule("org/", "allow"),
-    host_rule("example.org/es/", "block"),
     host_rule("example.org/en/1", "block"),
+    host_rule("example.org/es/", "block"),
     host_rule("com/fr/", "allow"),
     host_rule("com/de/", "block"),
 )
-#: Words in host names that mark spam and adult sites.
-WORD_RULES = tuple(word_rule(w) for w in ("adult", "casino", "pills", "porn", "xxx", "warez", "phishing", "malware"))
+# Words in host names that mark adult, gambling, pill, malware and spam sites.
+HOST_WORDS = """
+    adult blackjack bitcoin-doubler camgirls casino cialis cracked crackz dating-now escort escorts fakeid fetish gambling
+    hentai jackpot keygen lottery malware milf nude nudes onlyfans-leak payday-loans phishing pills poker porn porno pornhub
+    replica-watches roulette sexcam sexshop slots spam spam-farm sportsbet spyware steroids strip stripper tramadol torrentz
+    trojan viagra warez webcam-girls xanax xvideos xxx
+""".split()
+# Words of paths, in this order, that mark downloads of stolen goods, link farms and shop spam.
+PATH_WORDS = (
+    "adult", "buy viagra", "buy followers", "cheap pills", "casino bonus", "crack download", "credit card generator", "doorway", "escort service", "fake id",
+    "free keygen", "free porn", "free slots", "full crack", "get rich quick", "hack tool", "hot singles", "keygen", "link farm", "lose weight fast", "miracle cure", "no prescription",
+    "nulled", "online casino", "payday loan", "porn", "replica watches", "serial key", "sex cam", "torrent download", "viagra", "warez", "xxx",
+)
+#: Chains of marks in host names and session numbers in paths, as generated sites have them.
+PATTERN_RULES = (
+    pattern_rule("free-host-chain", r"^(?:[^/]*[.-])?free(?:-[a-z0-9]+){2,}\.[^/]*/", ("free",)),
+    pattern_rule("best-top-list", r"^[^/]*/(?:.*/)?top-[0-9]+-best-[^/]*$", ("top", "best")),
+    pattern_rule("session-path", r"^[^/]*/(?:.*/)?(?:sid|sessionid)=[0-9a-f]{16,}(?:/|$)", ()),
+)
+DEFAULT_RULES = HOST_RULES + tuple(map(word_rule, HOST_WORDS)) + tuple(map(path_rule, PATH_WORDS)) + PATTERN_RULES
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -83,11 +134,11 @@ def rule_index(sites: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 def judge_urls(
     pages: DataFrame,
-    rules: tuple[Rule, ...] = HOST_RULES + WORD_RULES,
+    rules: tuple[Rule, ...] = DEFAULT_RULES,
     id_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:
-    """id, host, path, rule (the host rule that decided), verdict, pattern (the word rule that decided)."""
+    """id, host, path, rule (the host rule that decided), verdict, pattern (the other rule that decided)."""
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     sites = rows.select("host", "path").distinct().withColumn("tokens", _tokens(F.concat("host", F.lit("/"), "path")))
@@ -146,14 +197,12 @@ WITH cut AS (
          WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
          WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
   FROM parts
-), worded AS (
-  SELECT *, CASE WHEN rule IS NULL THEN (
-      SELECT max(w) FROM (VALUES ('adult'), ('casino'), ('pills'), ('porn'), ('xxx'), ('warez'), ('phishing'), ('malware')) t(w)
-      WHERE regexp_matches(host || path, '^([^/]*[.-])?' || w || '([.-][^/]*)?(/|$)')) END AS pattern
-  FROM ruled
+), fitting AS (
+  SELECT page_id, max(name) AS pattern FROM ruled JOIN (VALUES __RULES__) t(name, regex) ON regexp_matches(host || path, regex)
+  WHERE rule IS NULL GROUP BY page_id
 )
-SELECT page_id, host, path, rule,
+SELECT ruled.page_id, host, path, rule,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
   pattern
-FROM worded
-"""
+FROM ruled LEFT JOIN fitting ON fitting.page_id = ruled.page_id
+""".replace("__RULES__", ", ".join(f"('{r.name}', '{r.regex}')" for r in DEFAULT_RULES if r.rank == 0))
