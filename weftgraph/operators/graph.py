@@ -129,29 +129,24 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, stops: DataFrame) -> Dat
     """(label, start, path): for each start the shortest path to a stop, of equal ones the least by its nodes' order.
 
     edges(label, src, dst), starts(label, start), stops(label, node). A start that is a stop has a path of itself.
-    Starts without a path are absent.
+    Starts without a path are absent. Distances are counted from the stops backwards; then every node knows its least
+    neighbour that is one step nearer, and a start follows these: one row for each start and step.
     """
-    edges = durable(edges.select("label", F.col("src").alias("node"), "dst"), "path-edges")
-    stops = durable(stops.select("label", "node").distinct(), "path-stops")
-    first = starts.select("label", "start", F.col("start").alias("node"), F.array("start").alias("path")).distinct()
-    front, found, visited = durable(first, "path-level"), [], []
-    while not front.isEmpty():
-        hits = front.join(stops, ["label", "node"], "left_semi")
-        done = durable(hits.groupBy("label", "start").agg(F.min("path").alias("path")), "path-found")
-        found.append(done)
-        going = front.join(done.select("label", "start"), ["label", "start"], "left_anti")
-        visited.append(going.select("label", "start", "node"))
-        step = going.join(edges, ["label", "node"])
-        step = step.select("label", "start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        step = step.groupBy("label", "start", "node").agg(F.min("path").alias("path"))
-        for past in visited:
-            step = step.join(past, ["label", "start", "node"], "left_anti")
-        front = durable(step, "path-level")
-        if len(visited) > MERGE_LEVELS:
-            visited = [durable(reduce(DataFrame.unionByName, visited), "path-visited")]
-    if not found:
-        return starts.select("label", "start", F.array("start").alias("path")).limit(0)
-    return reduce(DataFrame.unionByName, found)
+    edges = durable(edges.select("label", "src", "dst").distinct(), "path-edges")
+    dist = durable(levels(reverse(edges), stops.select("label", "node").distinct()), "path-distances")
+    nearer = dist.select("label", F.col("node").alias("dst"), (F.col("d") + 1).alias("d"))
+    leaving = edges.join(dist.select("label", F.col("node").alias("src"), "d"), ["label", "src"]).join(nearer, ["label", "dst", "d"])
+    hops = durable(leaving.groupBy("label", F.col("src").alias("node")).agg(F.min("dst").alias("next")), "path-hops")
+    first = starts.select("label", "start", F.col("start").alias("node")).distinct().join(dist, ["label", "node"])
+    parts = [durable(first.select("label", "start", "node", "d"), "path-step")]
+    while True:
+        step = parts[-1].filter("d > 0").join(hops, ["label", "node"])
+        step = durable(step.select("label", "start", F.col("next").alias("node"), (F.col("d") - 1).alias("d")), "path-step")
+        if step.isEmpty():
+            break
+        parts.append(step)
+    told = reduce(DataFrame.unionByName, parts).groupBy("label", "start").agg(F.array_sort(F.collect_list(F.struct((-F.col("d")).alias("back"), "node"))).alias("x"))
+    return told.select("label", "start", F.transform("x", lambda x: x["node"]).alias("path"))
 
 
 def longest_paths(edges: DataFrame, starts: DataFrame, dist: DataFrame, max_depth: int, row_budget: int = 5_000_000) -> DataFrame:
@@ -218,37 +213,57 @@ def dead_zones(graph: Graph, views: DataFrame, dist: DataFrame, entries: DataFra
     return joined.select("label", "node", state.alias("state"), "d")
 
 
-def trap_loops(views: DataFrame, dead: DataFrame) -> DataFrame:
-    """(label, loop, node): strongly connected groups of two or more among dead(label, node); loop is the least member.
-
-    Nodes without a dead predecessor or successor are trimmed away until none is left; on the rest reachability is
-    doubled: pairs joined with pairs give pairs twice as far apart.
-    """
-    dead = dead.select("label", "node").distinct()
-    edges = views.join(dead.withColumnRenamed("node", "src"), ["label", "src"], "left_semi")
-    edges = durable(edges.join(dead.withColumnRenamed("node", "dst"), ["label", "dst"], "left_semi").select("label", "src", "dst").distinct(), "scc-edges")
+def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
+    """The written edges(label, src, dst) without those that can be on no cycle, as their ends only lead in or out, and their number."""
     n = edges.count()
     while n:
         into = edges.select("label", F.col("dst").alias("src")).distinct()
         out = edges.select("label", F.col("src").alias("dst")).distinct()
         edges = durable(edges.join(into, ["label", "src"], "left_semi").join(out, ["label", "dst"], "left_semi"), "scc-edges")
-        left = edges.count()
+        left, n = n, edges.count()
         if left == n:
             break
-        n = left
-    pairs, n = edges, edges.count()
+    return edges, n
+
+
+def trap_loops(views: DataFrame, dead: DataFrame) -> DataFrame:
+    """(label, loop, node): strongly connected groups of two or more among dead(label, node); loop is the least member.
+
+    Nodes without a dead predecessor or successor are trimmed away until none is left. In the rest every node takes the
+    greatest node that reaches it as its colour; those of a colour that reach its namesake are one group, which goes, and
+    what is left is trimmed and coloured anew. Tables have a row for each edge or node.
+    """
+    dead = dead.select("label", "node").distinct()
+    edges = views.join(dead.withColumnRenamed("node", "src"), ["label", "src"], "left_semi")
+    edges = durable(edges.join(dead.withColumnRenamed("node", "dst"), ["label", "dst"], "left_semi").select("label", "src", "dst").distinct(), "scc-edges")
+    edges, n = _trimmed(edges)
+    loops = []
     while n:
-        mid = pairs.select("label", F.col("src").alias("m"), F.col("dst").alias("far"))
-        longer = pairs.select("label", "src", F.col("dst").alias("m")).join(mid, ["label", "m"]).select("label", "src", F.col("far").alias("dst"))
-        pairs = durable(pairs.unionByName(longer).distinct(), "scc-pairs")
-        more = pairs.count()
-        if more == n:
-            break
-        n = more
-    back = pairs.select("label", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = pairs.join(back, ["label", "src", "dst"]).filter("src <> dst")
-    grouped = mutual.groupBy("label", F.col("src").alias("node")).agg(F.min("dst").alias("least"))
-    return grouped.select("label", F.least("node", "least").alias("loop"), "node")
+        # every node takes the greatest node that reaches it; the nodes of a colour that reach its namesake are one loop
+        colours = edges.select("label", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node"))
+        colours, moved = durable(colours, "scc-colours"), True
+        while moved:
+            along = edges.join(colours.withColumnRenamed("node", "src"), ["label", "src"]).select("label", F.col("dst").alias("node"), "colour", F.lit(False).alias("own"))
+            both = along.unionByName(colours.select("label", "node", "colour", F.lit(True).alias("own")))
+            best = both.groupBy("label", "node").agg(F.max("colour").alias("colour"), F.max(F.when(F.col("own"), F.col("colour"))).alias("before"))
+            best = durable(best, "scc-colours")
+            moved = not best.filter("colour <> before").isEmpty()
+            colours = best.select("label", "node", "colour")
+        ends = [colours.select("label", F.col("node").alias(c), F.col("colour").alias(f"{c}_colour")) for c in ("src", "dst")]
+        inside = edges.join(ends[0], ["label", "src"]).join(ends[1], ["label", "dst"]).filter("src_colour = dst_colour")
+        name = F.struct("label", F.col("src_colour").alias("colour"))
+        roots = colours.filter("node = colour").select(F.struct("label", "colour").alias("label"), "node")
+        found = durable(reachable(reverse(inside.select(name.alias("label"), "src", "dst")), roots).select("label.label", "label.colour", "node"), "scc-found")
+        loops.append(found)
+        gone = found.select("label", "node")
+        for c in ("src", "dst"):
+            edges = edges.join(gone.withColumnRenamed("node", c), ["label", c], "left_anti")
+        edges, n = _trimmed(durable(edges, "scc-edges"))
+    if not loops:
+        return dead.select("label", F.col("node").alias("loop"), "node").limit(0)
+    found = reduce(DataFrame.unionByName, loops)
+    sizes = found.groupBy("label", "colour").agg(F.count("*").alias("n"), F.min("node").alias("loop")).filter("n > 1")
+    return found.join(sizes, ["label", "colour"]).select("label", "loop", "node")
 
 
 def convergence(paths: DataFrame) -> DataFrame:
