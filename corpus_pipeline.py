@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the shared folder
 and reads it as the next stage's docs. All stages but the last keep the columns of documents.
+
+Defined cases, for all stages: an empty table gives an empty table; columns besides doc_id, text, lang and source are carried
+along unread, whatever their names, but for names that begin with two underscores; rows with a null doc_id are kept by the
+stages that compare documents. Each stage says what it does with null texts, ties and repeated rows.
 """
 
 from __future__ import annotations
@@ -18,7 +22,10 @@ LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language. The model learns from those that are not in its held-out fold."""
+    """Documents with a recognised language. The model learns from those that are not in its held-out fold.
+
+    Null texts and texts without a letter are rejected; a null lang or doc_id is not learned from but judged; rows with equal
+    texts are judged alike, as the verdict depends on the text alone."""
     ship(spark)
     model = langid.train(docs.filter(langid.fold() != langid.HELD_OUT), tokenizer_path("piece_bpe_32k.model"))
     return langid.accepted(docs, model, LEAST_SCORE)
@@ -47,19 +54,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no item of the benchmark."""
+    """Documents that leak no item of the benchmark. Null and empty texts leak nothing and are kept, as are all documents
+    where the benchmark is empty; rows with equal texts are judged alike."""
     ship(spark)
     return tiling.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sample that holds the target shares of sources, languages and topics."""
+    """The sample that holds the target shares of sources, languages and topics. Null source and lang are a category of their
+    own; texts without words have no tokens and are not drawn; rows with equal doc_id of one cell are drawn together."""
     ship(spark)
     return mixing.sample(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards, read back: doc_id, start, n_tokens, ids_crc32."""
+    """Token shards, read back: doc_id, start, n_tokens, ids_crc32. A null text is the end id alone; equal doc_ids stand in
+    the order of their texts; repeated rows are written repeated."""
     ship(spark)
     return tokenbin.tokenize(docs, tokenizer_path("byte_bpe_50k.json"))
 
