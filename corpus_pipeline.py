@@ -62,7 +62,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sample that holds the target shares of sources, languages and topics. Null source and lang are a category of their
-    own; texts without words have no tokens and are not drawn; rows with equal doc_id of one cell are drawn together."""
+    own; texts without words count no tokens and are drawn like others of their cell; rows with equal doc_id of one cell are drawn together."""
     ship(spark)
     return mixing.sample(docs)
 
