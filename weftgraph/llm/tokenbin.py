@@ -41,80 +41,146 @@ END = 2
 SHARD_IDS = 1_000_000
 LEAST_COUNT = 12  # a rule takes 12 bytes and each use of it saves two
 CACHE = 300_000
+JOINED = 100
+TEXT_BYTES = 6_000_000  # of text encoded at once: looking words up has a cost for each time
 CELL_BITS, FEW = 18, 50_000
 _MAGIC = b"WRP1"
 _HEAD = struct.Struct("<4sIIIIB")
 _BREAK = np.uint32(0xFFFFFFFF)  # stands for a document's end id
+_SPACE = "\u0120"  # how byte-level vocabularies write a space
+_WHITE = " \t\n\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space before a space: there, and where more follows or the text ends, the tokenizer looks across the space.
-_across = tuple(f"{c} " for c in " \t\n\v\f\r")
-_wide_across = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
+_ACROSS = f"[{_WHITE}] "
+#: Letters in every version of Unicode that a tokenizer may know; the byte-level pattern takes a word of them as one piece.
+_LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u0220\u0400-\u0481]+$"
+
+
+def _runs(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The elements of `flat` from each of `begin` on, `size` of them, one run after the other."""
+    end = np.cumsum(size)
+    return flat[np.repeat(begin - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)]
+
+
+class Known:
+    """Words, and the ids of each with a space before it."""
+
+    def __init__(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def __contains__(self, word: str) -> bool:
+        return pc.index(self.words, pa.scalar(word, pa.large_string())).as_py() >= 0
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word, or -1."""
+        return np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1)).astype(np.int64)
+
+    def add(self, words: pa.Array, ids: np.ndarray, size: np.ndarray) -> None:
+        """Words that are not here yet, their ids one after the other, and how many each has."""
+        self.begin = np.r_[self.begin, len(self.ids) + np.cumsum(size) - size]
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids, self.size = np.r_[self.ids, ids], np.r_[self.size, size]
 
 
 class Encoder:
     """Ids of texts. No piece of the byte-level pattern holds a space but at its start, so words are encoded once.
 
+    New words are encoded JOINED at a time, with a space before each; an id that begins with a space begins a word. Words
+    of letters alone are one piece of the pattern each, so they are cut at the spaces without it.
     Words are remembered in two halves: what is met again moves to the young half, and when that is full the old half is
     forgotten, so words met once do not drive out those met often.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already fill the cores
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cutter = Tokenizer(self.tokenizer.model)
+        bytes_only = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.cutter.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), bytes_only])
         self.base = self.tokenizer.get_vocab_size()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.whole = "|".join([_ACROSS, *map(re.escape, self.added)])
+        self.opens = np.zeros(self.base, bool)  # ids of tokens that begin with a space
+        self.opens[[k for token, k in self.tokenizer.get_vocab().items() if token.startswith(_SPACE)]] = True
+        self.young, self.old = Known(), Known()
 
     @classmethod
     def at(cls, path: str) -> Encoder:
         return only_one(f"encoder {path}", lambda: cls(path))
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _is_whole(self, text: str) -> bool:
-        """Whether the tokenizer may look across a space, or the text holds the string of an added token."""
-        if any(mark in text for mark in self.added) or any(pair in text for pair in _across):
-            return True
-        return not text.isascii() and _wide_across.search(text) is not None
-
-    def _learn(self, words: list[str]) -> None:
+    def _ids(self, texts: list[str], tokenizer: object = None) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _apart(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, each with a space before it, by one call for each; and how many each has."""
+        found = self._ids([f" {w}" for w in words.to_pylist()])
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def _spaced(self, words: pa.Array, tokenizer: object) -> tuple[np.ndarray, np.ndarray]:
+        """The same, for words without white space at their ends."""
+        cuts = pa.array([*range(0, len(words), JOINED), len(words)], pa.int32())
+        texts = [f" {t}" for t in pc.binary_join(pa.ListArray.from_arrays(cuts, words), pa.scalar(" ", words.type)).to_pylist()]
+        if any(mark in t for mark in self.added if " " in mark for t in texts):
+            return self._apart(words)
+        ids = np.frombuffer(b"".join([b for k in range(0, len(texts), 500) for b in self._ids(texts[k : k + 500], tokenizer)]), "<u4")
+        begin = np.flatnonzero(self.opens[ids])
+        if len(begin) != len(words):
+            raise ValueError("not a byte-level tokenizer that begins a piece at every space")
+        return ids, np.diff(np.append(begin, len(ids)))
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """The place of each word in the young half."""
         if len(self.young) > CACHE:
-            self.young, self.old = {}, self.young
-        need = [w for w in words if w not in self.young]
-        fresh = [w for w in need if w not in self.old]
-        if len(fresh) < len(need):
-            self.young.update((w, self.old[w]) for w in need if w in self.old)
-        for k in range(0, len(fresh), 50_000):
-            some = fresh[k : k + 50_000]
-            self.young.update(zip(some, self._ids([f" {w}" for w in some]), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+            self.young, self.old = Known(), self.young
+        young, old = self.young, self.old
+        place = young.find(words)
+        rest = np.flatnonzero(place < 0)
+        if len(rest):
+            missing = words.take(pa.array(rest))
+            before = old.find(missing)
+            again, new = np.flatnonzero(before >= 0), before < 0
+            bare = np.asarray(pc.and_(pc.not_equal(missing, ""), pc.equal(pc.utf8_rtrim(missing, _WHITE), missing)))
+            letters = np.asarray(pc.match_substring_regex(missing, _LETTERS))
+            place[rest[again]] = len(young) + np.arange(len(again))
+            at = before[again]
+            young.add(missing.take(pa.array(again)), _runs(old.ids, old.begin[at], old.size[at]), old.size[at])
+            for which, tokenizer in ((new & letters, self.cutter), (new & bare & ~letters, self.tokenizer), (new & ~bare, None)):
+                some = np.flatnonzero(which)
+                if len(some):
+                    found = missing.take(pa.array(some))
+                    place[rest[some]] = len(young) + np.arange(len(some))
+                    young.add(found, *(self._spaced(found, tokenizer) if tokenizer else self._apart(found)))
+        return place
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian u32, without the end id."""
-        out: list[bytes] = [b""] * len(texts)
-        whole = [k for k, t in enumerate(texts) if t and self._is_whole(t)]
-        for k, ids in zip(whole, self._ids([texts[k] for k in whole]), strict=True):
+        rows = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        out: list[bytes] = [b""] * len(rows)
+        some = np.asarray(pc.fill_null(pc.not_equal(rows, ""), False))
+        whole = np.asarray(pc.fill_null(pc.match_substring_regex(rows, self.whole), False))
+        apart, cut = np.flatnonzero(some & whole), np.flatnonzero(some & ~whole)
+        for k, ids in zip(apart.tolist(), self._ids(rows.take(pa.array(apart)).to_pylist()), strict=True):
             out[k] = ids
-        looked = set(whole)
-        cut = [k for k, t in enumerate(texts) if t and k not in looked]
-        if not cut:
+        if not len(cut):
             return out
-        parts = pc.split_pattern(pa.array([texts[k] for k in cut], pa.large_string()), " ")
+        parts = pc.split_pattern(rows.take(pa.array(cut)), " ")
         coded, bounds = parts.flatten().dictionary_encode(), np.asarray(parts.offsets)
-        words, code = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
-        self._learn(words)
+        words, code = coded.dictionary, np.asarray(coded.indices)
         # a text's first word has no space before it
-        first = np.asarray(bounds[:-1])
-        known = [*map(self.young.__getitem__, words), *self._ids([words[c] for c in code[first].tolist()])]
-        code[first] = len(words) + np.arange(len(first))
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        flat, begin, n = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size, size[code]
-        end = np.cumsum(n)
-        joined = flat[np.repeat(begin[code] - (end - n), n) + np.arange(int(end[-1]))].tobytes()
-        ends = np.r_[0, end][bounds] * 4
-        for k, x, y in zip(cut, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        heads = self._ids(words.take(pa.array(code[bounds[:-1]])).to_pylist())
+        place = self._learn(words)[code]
+        place[bounds[:-1]] = len(self.young) + np.arange(len(heads))
+        size = np.r_[self.young.size, np.fromiter(map(len, heads), np.int64, len(heads)) // 4]
+        begin = np.r_[self.young.begin, len(self.young.ids) + np.cumsum(size[len(self.young) :]) - size[len(self.young) :]]
+        flat, n = np.r_[self.young.ids, np.frombuffer(b"".join(heads), "<u4")], size[place]
+        joined = _runs(flat, begin[place], n).tobytes()
+        ends = np.r_[0, np.cumsum(n)][bounds] * 4
+        for k, x, y in zip(cut.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             out[k] = joined[x:y]
         return out
 
@@ -256,35 +322,23 @@ class Shard:
         self._offsets = self._table = None
 
     def _expansions(self) -> None:
-        offsets = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
-        table = np.zeros(offsets[-1], np.uint32)
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            at = offsets[k]
-            for x in (a, b):
-                if x < self.base:
-                    table[at] = x
-                    at += 1
-                else:
-                    n = self.sizes[x - self.base]
-                    table[at : at + n] = table[offsets[x - self.base] : offsets[x - self.base] + n]
-                    at += n
-        self._offsets, self._table = offsets, table
+        known: list[bytes] = []  # rules refer to earlier ones only
+        of = lambda x: known[x - self.base] if x >= self.base else x.to_bytes(4, "little")
+        for a, b in self.rules.tolist():
+            known.append(of(a) + of(b))
+        self._offsets = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
+        self._table = np.frombuffer(b"".join(known), "<u4")
 
     def expand(self, begin: int, end: int) -> np.ndarray:
         """The ids of the symbols from begin to end."""
         if self._table is None:
             self._expansions()
-        part = self.symbols[begin:end].astype(np.int64)
-        rule = part >= self.base
-        size = np.ones(len(part), np.int64)
-        size[rule] = self.sizes[part[rule] - self.base]
-        out = np.repeat(part, size).astype(np.uint32)
-        at = np.repeat(np.cumsum(size) - size, size)
-        of_rule = np.repeat(rule, size)
-        places = np.flatnonzero(of_rule)
-        source = self._offsets[np.repeat(part, size)[places] - self.base] + (places - at[places])
-        out[places] = self._table[source]
-        return out
+        part = self.symbols[begin:end].astype(np.uint32)
+        rule = np.flatnonzero(part >= self.base)
+        which = part[rule].astype(np.int64) - self.base
+        at, size = len(self._table) + np.arange(len(part)), np.ones(len(part), np.int64)
+        at[rule], size[rule] = self._offsets[which], self.sizes[which]
+        return _runs(np.concatenate([self._table, part]), at, size)
 
     def document(self, k: int) -> np.ndarray:
         return self.expand(int(self.first[k]), int(self.first[k + 1]))
@@ -318,8 +372,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = END) ->
             number, offset, held = number + 1, offset + held, 0
             return batch
 
-        for piece in slices(batches, "text"):
-            for d, x in zip(piece.column(0).to_pylist(), coder.encode(piece.column(1).to_pylist()), strict=True):
+        for piece in slices(batches, "text", TEXT_BYTES):
+            for d, x in zip(piece.column(0).to_pylist(), coder.encode(piece.column(1)), strict=True):
                 n = len(x) // 4 + 1
                 if ids and held + n > SHARD_IDS:
                     yield close()
