@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftgraph.llm import chat, langid, minhash, mixing, quality, substring, tiling, tokenbin, toxicity, url_rules
+from weftgraph.llm import chat, infill, langid, merkle, minhash, mixing, overlap, quality, substring, tiling, tokenbin, toxicity, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.fill_in_middle(_table(spark, sf_dir, "documents"))
+    whole = infill.restored(F.col("output"), F.col("form"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256")
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.join_components(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    received = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(_table(spark, sf_dir, "documents"), received)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,6 +113,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_shards": op8_token_shards,
         "op9_url_filter": op9_url_filter,
         "op10_toxicity": op10_toxicity,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_ngram_join": op12_ngram_join,
+        "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": pipeline,
     }
 
@@ -104,4 +124,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_chat_format": chat.ORACLE,
         "op9_url_filter": url_rules.ORACLE,
+        "op11_fill_in_middle": infill.ORACLE,
+        "op12_ngram_join": overlap.ORACLE,
+        "op13_merkle_manifest": merkle.ORACLE,
     }
