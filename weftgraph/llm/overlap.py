@@ -9,11 +9,12 @@ links, at most n - ceil(t n / 100) columns of either row are not shared, so in t
 the rows are shared at least. So the first product is over the lead blocks alone: columns with one row go, then rows with too few
 columns left.
 
-A column that many rows share (a notice, or the text of a group of copies) would make the product quadratic. So each column has one
-lead row, the one that stands with most others, and the product is taken with lead rows only: overlaps are accumulated by (row,
-lead row), pairs below their bound are discarded, and the others' overlaps are completed on the whole rows. Where then rows of
-several components still share columns, the rest of the product is taken with the lead row p subtracted: with D(x) = x xor p,
-|x xor y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, where each D is short and the columns that all share are gone. Two rows link just if
+A column that many rows share (a notice, or the text of a group of copies) would make the product quadratic. So the product is
+taken by lead rows, ROUNDS times one of each column, the row that stands with most others: overlaps are accumulated by (row, lead
+row), pairs below their bound are discarded, and the others' overlaps are completed on the whole rows. Then lead rows leave
+their columns, as do columns whose rows are one component. Where after that rows of several components still share columns, the
+rest of the product is taken with the column's first lead row p subtracted: with D(x) = x xor p, |x xor y| = |D(x)| + |D(y)| - 2
+|D(x) & D(y)|, where each D is short for rows like p and the columns that all share are gone. Two rows link just if
 
     2 (100 + t) |D(x) & D(y)| >= g(x) + g(y),   g(x) = (100 + t) |D(x)| - (100 - t) |x|.
 
@@ -23,7 +24,7 @@ its rarest columns as the block's least g allows (one shared column at least sta
 fewer than t per cent of their columns in any other row left link with none and are left out before. All of this is exact; only
 links that can't change a component are not looked for.
 
-Columns are 64-bit hashes of n-grams of words' 64-bit hashes. Defined cases: null and empty texts, or those without words, have no
+Columns are 64-bit hashes of n-grams of five words' 64-bit hashes. Defined cases: null and empty texts, or those without words, have no
 n-gram and link with nothing. A text with fewer words than an n-gram is one n-gram. Rows with a null doc_id take no part and are
 returned with a null component. A doc_id is one document: where it is repeated with other texts, it links with what any of them links with.
 Only doc_id and text are read.
@@ -38,13 +39,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftgraph.llm.minhash import _common, components, digests, full_sets, same_ids, shared_sizes, shingle_sets
-from weftgraph.llm.store import drop, durable
+from weftgraph.llm.store import drop, durable, releasing
 from weftgraph.llm.words import slices
 
-SIZE = 5
 THRESHOLD = 80
 LEAD_PART = 20
 NEAR_BLOCKS = 8
+#: So many lead rows of each column are multiplied out before the rest is subtracted; columns with one row more are done by then.
+ROUNDS = 3
 
 
 def spare(n: str) -> str:
@@ -52,12 +54,12 @@ def spare(n: str) -> str:
     return f"(({n} + {LEAD_PART - 1}) div {LEAD_PART})"
 
 
-def rows_of(docs: DataFrame, threshold: int, size: int) -> DataFrame:
+def rows_of(docs: DataFrame, threshold: int) -> DataFrame:
     """doc_id, n, the digest of the row in two halves, and its lead block, for each document."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            hashes, starts = shingle_sets(part.column(1).to_pylist(), size)
+            hashes, starts = shingle_sets(part.column(1).to_pylist())
             n = np.diff(starts)
             lead = n - (n * threshold + 99) // 100 + -(-n // LEAD_PART)
             ends = np.concatenate([[0], np.cumsum(lead)])
@@ -153,39 +155,56 @@ def subtracted_product(members: DataFrame, rows: DataFrame, threshold: int) -> D
     return met.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
 
 
-def linked_rows(classes: DataFrame, docs: DataFrame, threshold: int, size: int) -> DataFrame:
+def leading(entries: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Of entries(item, v, n, c, degree): each column's lead row (item, p, p_n), and the pairs (a, b) of a row and a lead row whose overlap
+    in the entries may reach their bound. An overlap is known in the columns that the lead row leads; it has few others."""
+    by_item = entries.groupBy("item").agg(F.count("*").alias("often"), F.max_by(F.struct("v", "n", "c"), F.struct("degree", -F.col("v"))).alias("p"))
+    leaders = durable(by_item.filter("often > 1").select("item", F.col("p.v").alias("p"), F.col("p.n").alias("p_n"), F.col("p.c").alias("p_c")), "overlap-leaders")
+    own = entries.groupBy("v").agg(F.count("*").alias("own"))
+    led = leaders.groupBy(F.col("p").alias("v")).agg(F.count("*").alias("led"))
+    other = led.join(own, "v").select(F.col("v").alias("p"), (F.col("own") - F.col("led")).alias("other"))
+    met = entries.join(leaders, "item").filter((F.col("c") != F.col("p_c")) & _sizes_fit("n", "p_n", threshold))
+    counted = met.groupBy("v", "n", "p", "p_n").agg(F.count("*").alias("so_far")).join(other, "p")
+    need = f"(({threshold} * (n + p_n) + {99 + threshold}) div {100 + threshold})"
+    bounds = [f"{need} - ({x} * {threshold} + 99) div 100 + {spare(x)}" for x in ("n", "p_n")]
+    pairs = counted.filter(f"so_far + other >= least({bounds[0]}, {bounds[1]})").select(F.col("v").alias("a"), F.col("p").alias("b"))
+    return leaders, durable(pairs, "overlap-pairs")
+
+
+def linked_rows(classes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """(v, c): components of the classes (v, rep, n, d1, d2, lead) of distinct sets; those without a link are absent."""
     entries = classes.select("v", "n", F.explode("lead").alias("item"))
     shared = entries.groupBy("item").agg(F.count("*").alias("often")).filter("often > 1")
-    held = durable(entries.join(shared, "item"), "overlap-lead")
+    with releasing(docs.sparkSession):
+        held = durable(entries.join(shared, "item"), "overlap-lead")
     some = held.groupBy("v", "n").agg(F.count("*").alias("own"), F.sum("often").alias("degree"))
     some = some.filter(f"own >= {spare('n')}").select("v", "degree")
-    lead = durable(held.join(some, "v").select("item", "v", "n", "degree"), "overlap-lead")
+    entries = durable(held.join(some, "v").select("item", "v", "n", F.col("v").alias("c"), "degree", F.lit(None).cast("long").alias("first")), "overlap-lead")
     drop(held)
-    by_item = lead.groupBy("item").agg(F.count("*").alias("often"), F.max_by(F.struct("v", "n"), F.struct("degree", -F.col("v"))).alias("p"))
-    leaders = durable(by_item.filter("often > 1").select("item", F.col("p.v").alias("p"), F.col("p.n").alias("p_n")), "overlap-leaders")
-    met = lead.join(leaders, "item").filter((F.col("v") != F.col("p")) & _sizes_fit("n", "p_n", threshold))
-    counted = met.groupBy("v", "n", "p", "p_n").agg(F.count("*").alias("so_far"))
-    need = f"(({threshold} * (n + p_n) + {99 + threshold}) div {100 + threshold})"
-    bounds = [f"{need} - ({x} * {threshold} + 99) div 100 + {spare(x)}" for x in ("n", "p_n")]
-    pairs = durable(counted.filter(f"so_far >= least({bounds[0]}, {bounds[1]})").select(F.col("v").alias("a"), F.col("p").alias("b")), "overlap-pairs")
-    members = lead.select("v").distinct().join(classes.select("v", "rep", "d1", "d2"), "v")
+    members = entries.select("v").distinct().join(classes.select("v", "rep", "d1", "d2"), "v")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("rep").distinct(), "rep", "left_semi")
     rows = full_sets(texts).join(members.select("v", "d1", "d2"), ["d1", "d2"])
-    rows = durable(rows.groupBy("d1", "d2").agg(F.first("v").alias("v"), F.first("items").alias("items")).select("v", "items"), "overlap-rows")
-    links = durable(completed(pairs, rows, threshold), "overlap-links")
-    comp = components(links)
-    labelled = lead.join(leaders, "item").join(comp, "v", "left").select("item", "p", "v", "n", F.coalesce("c", "v").alias("c"))
-    labelled = durable(labelled, "overlap-labelled")
-    mixed = labelled.groupBy("item").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("item")
-    # all lead columns that two linked rows of different components share are mixed
-    still = labelled.join(mixed, "item")
-    enough = still.groupBy("v", "n").agg(F.count("*").alias("own")).filter(f"own >= {spare('n')}").select("v")
-    still = durable(still.join(enough, "v").select("p", "v", "n", "c").distinct(), "overlap-open")
-    for gone in (lead, leaders, labelled, pairs):
-        drop(gone)
-    if still.isEmpty():
-        return comp
+    with releasing(docs.sparkSession):
+        rows = durable(rows.groupBy("d1", "d2").agg(F.first("v").alias("v"), F.first("items").alias("items")).select("v", "items"), "overlap-rows")
+    links, comp = None, None
+    for _ in range(ROUNDS):
+        leaders, pairs = leading(entries, threshold)
+        found = durable(completed(pairs, rows, threshold), "overlap-links")
+        links = found if links is None else links.unionByName(found)
+        if comp is None or not found.isEmpty():
+            comp = components(links)
+        # a lead row has met all rows of its column; of two linked rows that never met, all common columns are left, and all are mixed
+        left = entries.drop("c").join(leaders.select("item", "p"), "item").filter("v <> p").join(comp, "v", "left")
+        left = durable(left.select("item", "v", "n", F.coalesce("c", "v").alias("c"), "degree", F.coalesce("first", "p").alias("first")), "overlap-left")
+        mixed = left.groupBy("item").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("item")
+        still = left.join(mixed, "item")
+        enough = still.groupBy("v", "n").agg(F.count("*").alias("own")).filter(f"own >= {spare('n')}").select("v")
+        before, entries = entries, durable(still.join(enough, "v").select("item", "v", "n", "c", "degree", "first"), "overlap-lead")
+        for gone in (before, left, leaders, pairs):
+            drop(gone)
+        if entries.isEmpty():
+            return comp
+    still = durable(entries.select(F.col("first").alias("p"), "v", "n", "c").distinct(), "overlap-open")
     cores = shared_sizes(rows.join(still.select("v").distinct(), "v", "left_semi"))
     left = still.join(cores, "v").filter(F.col("core") * 100 >= F.col("n") * threshold)
     several = left.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("p")
@@ -196,14 +215,16 @@ def linked_rows(classes: DataFrame, docs: DataFrame, threshold: int, size: int)
     return comp if found.isEmpty() else components(links.unionByName(found))
 
 
-def join_components(docs: DataFrame, threshold: int = THRESHOLD, size: int = SIZE) -> DataFrame:
+def join_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) for every row."""
-    signed = durable(rows_of(docs, threshold, size), "overlap-rows")
+    signed = durable(rows_of(docs, threshold), "overlap-rows")
     known = signed.filter("doc_id is not null and n > 0")
     classes = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("lead").alias("lead"))
     classes = durable(classes.withColumn("v", F.monotonically_increasing_id()), "overlap-classes")  # numbers hold as they are written
-    signed = durable(signed.drop("lead"), "overlap-documents")
-    comp = linked_rows(classes, docs, threshold, size)
+    lean = durable(signed.drop("lead"), "overlap-documents")
+    drop(signed)
+    signed = lean
+    comp = linked_rows(classes, docs, threshold)
     repeated = durable(same_ids(signed.filter("doc_id is not null and n > 0"), classes), "overlap-links")
     if not repeated.isEmpty():
         linked = comp.filter("c < v").select(F.col("c").alias("a"), F.col("v").alias("b"))
