@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
+from weftgraph.functions.terms import Terms
 from weftgraph.functions.urls import collapse, token_key
 
 SEPARATOR = "|"
-FLAGS = "(?iuU)"
 EVIDENCE = ("title", "heading", "body")
 FIELDS = ("title", "h1", "breadcrumb", "nav_label", "url_path")
 
 
-def term_regex(terms: list[str]) -> str:
-    """One pattern for a list of terms. Words are separated by any white space; a final `*` leaves the word open; `re:`
-    gives a pattern as it is."""
-    made = []
-    for term in terms:
-        if term.startswith("re:"):
-            made.append("(?:" + term[3:].replace("(?P<", "(?<") + ")")
-        else:
-            words = r"\s+".join(re.escape(w) for w in term.rstrip("*").split())
-            made.append(r"(?<!\w)" + words + (r"\w*" if term.endswith("*") else r"(?!\w)"))
-    return FLAGS + "|".join(made)
-
-
 def common_headings(pages: DataFrame, least_pages: int) -> DataFrame:
     """(heading): normalized headings on that many pages(url, headings array<string>)."""
     one = pages.select("url", F.explode("headings").alias("h")).select("url", collapse(F.lower("h")).alias("heading"))
@@ -83,8 +71,7 @@ def strip_boilerplate(pages: DataFrame, window: int = 8, window_pages: int = 30,
     return out.select("url", "title", F.coalesce("headings", F.array()).alias("headings"), F.coalesce("body", F.lit("")).alias("body"), F.coalesce("dropped_words", F.lit(0)).alias("dropped_words"))
 
 
-def _counter(rx: str):
-    return lambda total, text: total + F.regexp_count(text, F.lit(rx))
+TAG_ROWS = "url string, entity_type string, entity string, score double, evidence string"
 
 
 def tag_entities(
@@ -96,32 +83,58 @@ def tag_entities(
 ) -> DataFrame:
     """(url, entity_type, entity, score, evidence) of pages(url, title, headings, body) by (type, name, terms).
 
-    Each entity is a literal pattern, so matching stays in one pass over the pages and needs no join.
+    The taxonomy, which the driver holds as a configuration, goes to the workers as one automaton; a text is read once, however
+    many terms there are. Null fields hold nothing.
     """
-    n = lambda text, rx: F.regexp_count(text, F.lit(rx))
-    made: list[Column] = []
-    for kind, name, terms in taxonomy:
-        rx = term_regex(terms)
-        in_headings = F.aggregate("headings", F.lit(0), _counter(rx))
-        hits = (n(F.col("title"), rx), in_headings, F.least(n(F.col("body"), rx), F.lit(body_cap)))
-        score = sum((F.lit(w) * h for w, h in zip(weights, hits, strict=True)), F.lit(0.0))
-        evidence = F.coalesce(*(F.when(h > 0, F.lit(e)) for e, h in zip(EVIDENCE, hits, strict=True)))
-        made.append(F.struct(F.lit(kind).alias("entity_type"), F.lit(name).alias("entity"), score.alias("score"), evidence.alias("evidence")))
-    rows = pages.select("url", F.explode(F.array(*made)).alias("t")).select("url", "t.*")
-    return rows.filter((F.col("score") >= least_score) & F.col("evidence").isNotNull())
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms([t for _, _, t in taxonomy])
+        for batch in batches:
+            rows = []
+            for url, title, headings, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hits: dict[int, list[int]] = {}
+                for place, texts in enumerate(((title,), headings or (), (body,))):
+                    for text in texts:
+                        for entry, n in terms.counts(text or "").items():
+                            hits.setdefault(entry, [0, 0, 0])[place] += n
+                for entry, n in hits.items():
+                    score = weights[0] * n[0] + weights[1] * n[1] + weights[2] * min(n[2], body_cap)
+                    if score >= least_score:
+                        rows.append((url, *taxonomy[entry][:2], score, next(e for e, x in zip(EVIDENCE, n, strict=True) if x)))
+            yield _batch(rows, TAG_ROWS)
+
+    return pages.select("url", "title", "headings", "body").mapInArrow(tag, TAG_ROWS)
+
+
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    names = [part.split()[0] for part in ddl.split(", ")]
+    kinds = [pa.float64() if part.endswith(" double") else pa.string() for part in ddl.split(", ")]
+    columns = zip(*rows, strict=True) if rows else ((),) * len(names)
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+TOPIC_ROWS = "url string, topic string, field string, rule string"
 
 
 def tag_topics(fields: DataFrame, topics: list[tuple[str, list[str]]]) -> DataFrame:
-    """(url, topic, field, rule): the first field, then the first term of the topic in it."""
-    made = []
-    for topic, terms in topics:
-        tests = [
-            F.when(F.coalesce(F.col(f), F.lit("")).rlike(term_regex([term])), F.struct(F.lit(topic).alias("topic"), F.lit(f).alias("field"), F.lit(term).alias("rule")))
-            for f in FIELDS
-            for term in terms
-        ]
-        made.append(F.coalesce(*tests))
-    return fields.select("url", F.explode(F.array_compact(F.array(*made))).alias("t")).select("url", "t.*")
+    """(url, topic, field, rule): the first field, then the first term of the topic in it. One pass over each field's text."""
+    rules = [(topic, term) for topic, terms in topics for term in terms]
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms([[term] for _, term in rules])
+        for batch in batches:
+            rows = []
+            for url, *texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first: dict[str, tuple[str, str]] = {}
+                for field, text in zip(FIELDS, texts, strict=True):
+                    for entry in sorted(terms.counts(text or "")):
+                        topic, term = rules[entry]
+                        if topic not in first:
+                            first[topic] = field, term
+                rows += [(url, topic, *first[topic]) for topic in first]
+            yield _batch(rows, TOPIC_ROWS)
+
+    return fields.select("url", *FIELDS).mapInArrow(tag, TOPIC_ROWS)
 
 
 def page_fields(pages: DataFrame, tags: DataFrame, links: DataFrame) -> DataFrame:
