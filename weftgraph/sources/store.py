@@ -41,6 +41,10 @@ class Folder:
         path = self._hadoop.Path(f"{self.path}/{name}" if name else self.path)
         return path if path.toUri().getScheme() else path.getFileSystem(self._conf).makeQualified(path)
 
+    def below(self) -> str:
+        """What stands before the names of the folder's files in their paths, without scheme and host."""
+        return self._at("").toUri().getPath().rstrip("/") + "/"
+
     def names(self, folder: str) -> list[str]:
         at = self._at(folder)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
