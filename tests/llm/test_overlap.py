@@ -87,3 +87,21 @@ def test_exactly_at_the_threshold(spark):
 
 def test_empty_table(no_docs):
     assert overlap.join_components(no_docs).collect() == []
+
+
+def test_texts_made_of_common_passages(spark):
+    """Rows far from the lead rows of their columns, copies of such rows, and copies of a group that are not like its lead row."""
+    rng = random.Random(9)
+    pool = [words(f"pool{k}", 40, 10**6) for k in range(12)]
+    rows = []
+    for k in range(70):
+        body = [w for p in rng.sample(range(12), 3) for w in pool[p]] + words(f"own{k}", rng.choice((0, 0, 6)), 10**6)
+        rows.append((k, " ".join(body)))
+        if k % 5 == 0:
+            rows.append((500 + k, changed(body, rng.choice((1, 2, 4)), rng)))
+    base = words("star", 150, 10**6)
+    for k in range(40):
+        body = list(base)
+        body[: 8 + k % 4] = words(f"head{k % 6}", 8 + k % 4, 10**6)
+        rows.append((1000 + k, changed(body, k % 3, rng)))
+    check(spark, rows)

@@ -20,9 +20,11 @@ rest of the product is taken with the column's first lead row p subtracted: with
 
 A row that links with p has g <= (100 - t) |p|, any other has more; of two rows in different components one at least is of the
 second kind. That product is blocked by g: rows near p are dealt by g into NEAR_BLOCKS, and a far row meets each block only in as many of
-its rarest columns as the block's least g allows (one shared column at least stands there). What meets is completed on the whole rows. Rows with
-fewer than t per cent of their columns in any other row left link with none and are left out before. All of this is exact; only
-links that can't change a component are not looked for.
+its rarest columns as the block's least g allows (one shared column at least stands there). A row whose D is so large that no row
+that links with p can link with it is remote: it has a column in common with p and little else. Remote rows leave p and are
+multiplied with each other, and with rows that don't link with p either, over the rarest of their own columns. What meets is
+completed on the whole rows. Rows with fewer than t per cent of their columns in any other row left link with none and are left
+out before. All of this is exact; only links that can't change a component are not looked for.
 
 Columns are 64-bit hashes of n-grams of five words' 64-bit hashes. Defined cases: null and empty texts, or those without words, have no
 n-gram and link with nothing. A text with fewer words than an n-gram is one n-gram. Rows with a null doc_id take no part and are
@@ -33,6 +35,7 @@ Only doc_id and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +118,20 @@ def differences(pairs: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
     return _with_rows(pairs, rows).mapInArrow(subtract, "a long, b long, g long, n_b long, item long")
 
 
+def distances(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b, d): how many columns rows a and b don't share."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = np.zeros(batch.num_rows, np.int64)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                d[k] = len(x) + len(y) - 2 * _common(x, y)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(d)], names=["a", "b", "d"])
+
+    return _with_rows(pairs, rows).mapInArrow(count, "a long, b long, d long")
+
+
 def _sizes_fit(a: str, b: str, threshold: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * threshold
 
@@ -155,6 +172,40 @@ def subtracted_product(members: DataFrame, rows: DataFrame, threshold: int) -> D
     return met.select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b")).distinct()
 
 
+def rarest_product(members: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) of members(v, n, c, remote) that may link, one of them remote, and are in different components c, by the product over
+    their rarest columns: of n columns any n - ceil(t n / 100) + 1 hold a shared one, and those that no other row has come first."""
+    whole = rows.join(members.select("v").distinct(), "v", "left_semi")
+    entries = durable(entries_of(whole), "overlap-entries")
+    often = entries.groupBy("item").agg(F.count("*").alias("often")).filter("often > 1")
+    held = entries.join(often, "item").groupBy("v").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("held"))
+    held = held.join(members, "v").withColumn("size", F.size("held")).withColumn("first", F.expr(f"size - (n * {threshold} + 99) div 100 + 1"))
+    kept = F.transform(F.slice("held", 1, F.col("first").cast("int")), lambda x, k: F.struct(x["item"].alias("item"), k.alias("at")))
+    cut = held.filter("first > 0").select(F.struct("v", "n", "c", "remote", "size").alias("x"), F.explode(kept).alias("i"))
+    cut = durable(cut.select("x", "i.item", "i.at"), "overlap-rarest")
+    drop(entries)
+    met = cut.filter("x.remote").join(cut.select("item", F.col("x").alias("y"), F.col("at").alias("at_y")), "item")
+    need = f"((x.n + y.n) * {threshold} + {99 + threshold}) div {100 + threshold}"
+    left = F.least(F.col("x.size") - F.col("at"), F.col("y.size") - F.col("at_y")) >= F.expr(need)  # this column and all after it
+    once = ~F.col("y.remote") | (F.col("x.v") < F.col("y.v"))
+    met = met.filter(once & (F.col("x.c") != F.col("y.c")) & left & _sizes_fit("x.n", "y.n", threshold))
+    return met.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
+
+
+def entries_of(rows: DataFrame) -> DataFrame:
+    """(v, item) of rows(v, items)."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                items = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+                owner = part.column(0).take(pa.array(np.repeat(np.arange(len(items)), [len(x) for x in items])))
+                yield pa.record_batch([owner, pa.array(np.concatenate(items))], names=["v", "item"])
+
+    return rows.select("v", "items").mapInArrow(explode, "v long, item long")
+
+
 def leading(entries: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Of entries(item, v, n, c, degree): each column's lead row (item, p, p_n), and the pairs (a, b) of a row and a lead row whose overlap
     in the entries may reach their bound. An overlap is known in the columns that the lead row leads; it has few others."""
@@ -207,11 +258,26 @@ def linked_rows(classes: DataFrame, docs: DataFrame, threshold: int) -> DataFram
     still = durable(entries.select(F.col("first").alias("p"), "v", "n", "c").distinct(), "overlap-open")
     cores = shared_sizes(rows.join(still.select("v").distinct(), "v", "left_semi"))
     left = still.join(cores, "v").filter(F.col("core") * 100 >= F.col("n") * threshold)
-    several = left.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("p")
-    members = durable(left.join(several, "p").select("p", "v", "n", "c", "core"), "overlap-members")
-    if members.isEmpty():
+    left = durable(left, "overlap-members")
+    apart = distances(left.select(F.col("v").alias("a"), F.col("p").alias("b")), rows)
+    kinds = left.join(apart.select(F.col("a").alias("v"), F.col("b").alias("p"), "d"), ["v", "p"])
+    kinds = kinds.join(classes.select(F.col("v").alias("p"), F.col("n").alias("n_p")), "p")
+    # the most that a row can differ from p and still link with one that links with p
+    most = F.least("n", "n_p") * (200 / threshold) + F.col("n") + F.col("n_p")
+    kinds = durable(kinds.withColumn("remote", F.col("d") * (100 + threshold) > most * (100 - threshold)), "overlap-kinds")
+    several = lambda of: of.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("p")
+    close = kinds.filter("not remote")
+    close = durable(close.join(several(close), "p").select("p", "v", "n", "c", "core"), "overlap-close")
+    links_with_p = F.col("d") * (100 + threshold) <= (F.col("n") + F.col("n_p")) * (100 - threshold)
+    outer = kinds.filter(~links_with_p)
+    outer = outer.join(several(outer), "p").groupBy("v", "n", "c").agg(F.bool_or("remote").alias("remote"))
+    outer = durable(outer, "overlap-outer")
+    pairs = [rarest_product(outer, rows, threshold)] if not outer.filter("remote").isEmpty() else []
+    if not close.isEmpty():
+        pairs.append(subtracted_product(close, rows, threshold))
+    if not pairs:
         return comp
-    found = durable(completed(subtracted_product(members, rows, threshold), rows, threshold), "overlap-links")
+    found = durable(completed(reduce(DataFrame.unionByName, pairs).distinct(), rows, threshold), "overlap-links")
     return comp if found.isEmpty() else components(links.unionByName(found))
 
 
