@@ -45,12 +45,12 @@ def test_held_out_accuracy(spark, path):
     en = "the cat sat on the mat and the dog ran with that thing for a while "
     de = "der hund und die katze sind nicht auf dem tisch weil das wetter schlecht ist "
     rows = [(k, (en if k % 2 else de).split(), "en" if k % 2 else "de") for k in range(80)]
-    rows = [(k, " ".join(w[k % 5 :] + w[: k % 3]), x) for k, w, x in rows] + [(900, None, "en"), (901, "123 !!", "de"), (902, "", None)]
+    rows = [(k, " ".join(w[k % 5 :] + w[: k % 3]), x) for k, w, x in rows] + [(900, None, "en"), (901, "123 !!", "de"), (902, "", None), (903, "½ ² ①", "en"), (904, "Ⅷ ⅻ.", None)]
     got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), path).collect()
     by = {r["doc_id"]: r for r in got}
     assert len(got) == len(rows)
     assert all(by[k]["lang_pred"] == x for k, _, x in rows[:80])
-    assert all((by[k]["lang_pred"], by[k]["score"]) == ("und", 0.0) for k in (900, 901, 902))
+    assert all((by[k]["lang_pred"], by[k]["score"]) == ("und", 0.0) for k in (900, 901, 902, 903, 904))
 
 
 def test_odd_tables(docs, no_docs, doc_rows, path):

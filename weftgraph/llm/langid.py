@@ -18,7 +18,6 @@ doc_id, text and lang are read. The number of languages is taken to be that of a
 from __future__ import annotations
 
 import math
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -35,10 +34,14 @@ FOLDS, HELD_OUT = 4, 2
 LONGEST_TABLE = 200  # words with more characters are summed one by one, in logarithms
 CACHE = 300_000
 FLUSH = 300_000
-_letter = re.compile(r"[^\W\d_]")
 _edge = " \t.,;:!?\"'()[]{}<>|*#%&$-_=+/\\"
 
 
+def has_letter(word: str) -> bool:
+    """Whether some character is a letter; numerals such as Roman ones, fractions and those in circles are none."""
+    return word.isalpha() or any(map(str.isalpha, word))
+
+
 _K = 0x9E3779B97F4A7C15
 
 
@@ -267,7 +270,7 @@ def count_words(rows: DataFrame) -> DataFrame:
             for lang, tokens in held.items():
                 words: Counter = Counter()
                 for token, n in tokens.items():
-                    if (word := token.strip(_edge)) and _letter.search(word):
+                    if has_letter(word := token.strip(_edge)):
                         words[word] += n
                 columns = [pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())]
                 yield pa.record_batch(columns, names=["lang", "word", "n"])
@@ -354,7 +357,7 @@ class _Sums:
         fresh = [t for t in need if t not in self.old]
         if fresh:
             words = [w.strip(_edge) for w in fresh]
-            once = {w: k for k, w in enumerate(dict.fromkeys(w for w in words if _letter.search(w)))}
+            once = {w: k for k, w in enumerate(dict.fromkeys(w for w in words if has_letter(w)))}
             sums = np.zeros((len(once) + 1, self.width))
             sums[:-1, :-1], sums[:-1, -1] = log_sums(list(once), v, p), 1
             self._put(fresh, sums[[once.get(w, -1) for w in words]])
