@@ -33,24 +33,36 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, the one with the least doc_id. Rows are judged by their own text: of equal
-    doc_ids the least hash of doc_id and text stays, of equal texts under one doc_id the first row by the other columns.
-    Rows with a null doc_id or without words are kept."""
+    doc_ids the least digest of the text stays, of equal texts under one doc_id the first row by the other columns' JSON, whatever
+    their types. Rows with a null doc_id or without words are kept. Rows are told apart by doc_id and a digest of 256 bits."""
     ship(spark)
-    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
-    named = docs.select(row.alias("row"), "doc_id", "text")
-    judged = minhash.near_duplicates(named.select(F.col("row").alias("doc_id"), "text")).filter("doc_id is not null and n_shingles > 0")
-    judged = judged.groupBy(F.col("doc_id").alias("row")).agg(F.first("component_id").alias("component"), F.count("*").alias("copies"))
-    ids = named.filter("row is not null").select("row", "doc_id").distinct()
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    named = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), "text")
+    ids = durable(named.groupBy("doc_id", "digest").agg(F.count("*").alias("copies")), "near-ids")
+    several = ids.groupBy("doc_id").agg(F.count("*").alias("texts")).filter("texts > 1").select("doc_id")
+    # texts that share a doc_id are numbered beyond all doc_ids, the others go by theirs; numbers hold as they are written
+    beyond = F.lit((ids.agg(F.max("doc_id")).first()[0] or 0) + 1) + F.monotonically_increasing_id()
+    odd = durable(ids.join(several, "doc_id").select("doc_id", "digest", beyond.alias("number")), "near-numbers")
+    texts = named
+    if not odd.isEmpty():
+        ids, texts = (x.join(odd, ["doc_id", "digest"], "left") for x in (ids, named))
+        ids, texts = (x.withColumn("row", F.coalesce("number", "doc_id")) for x in (ids, texts))
+        texts = texts.select(F.col("row").alias("doc_id"), "text")
+    else:
+        ids = ids.withColumn("row", F.col("doc_id"))
+    judged = minhash.near_duplicates(texts.select("doc_id", "text"))
+    judged = judged.filter("n_shingles > 0").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")).distinct()
     judged = durable(judged.join(ids, "row"), "near-rows")
-    first = judged.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("first")).select(F.col("first.row").alias("row"))
-    gone = judged.join(first, "row", "left_anti").select("row")
-    kept = docs.withColumn("__row", row).join(gone.withColumnRenamed("row", "__row"), "__row", "left_anti")
-    repeated = judged.filter("copies > 1").join(first, "row", "left_semi").select(F.col("row").alias("__row"))
+    first = judged.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select("first.doc_id", "first.digest")
+    mine = ["__id", "__digest"]
+    gone = judged.join(first, ["doc_id", "digest"], "left_anti").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    kept = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__digest": digest}).join(gone, mine, "left_anti")
+    repeated = judged.filter("copies > 1").join(first, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
     if repeated.isEmpty():
         return kept.select(docs.columns)
-    order = Window.partitionBy("__row").orderBy(*(c for c in docs.columns if c not in ("doc_id", "text")), "text")
-    one = kept.join(repeated, "__row", "left_semi").withColumn("__n", F.row_number().over(order)).filter("__n = 1")
-    return kept.join(repeated, "__row", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
+    order = Window.partitionBy(*mine).orderBy(F.sha2(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}), 256))
+    one = kept.join(repeated, mine, "left_semi").withColumn("__n", F.row_number().over(order)).filter("__n = 1")
+    return kept.join(repeated, mine, "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
