@@ -10,13 +10,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weftgraph.storage import durable
+from weftgraph.storage import drop, durable
 
 CHROME = ("nav", "header", "footer")
 ALL_LINKS, CONTENT_ONLY = "all_links", "content_only"
-#: Levels after which the tables of visited nodes are merged into one.
+#: Levels after which the tables of visited nodes are merged into one and dealt out anew.
 MERGE_LEVELS = 8
 #: Blocks of starts, each two of which are compared by themselves.
 PAIR_BLOCKS = 16
@@ -81,17 +82,51 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(*rest, F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def _held(df: DataFrame, *key: str) -> DataFrame:
+    """df dealt out and sorted by the key, kept on the executors' disks; what is lost there is made again from df.
+
+    Joins on the key see how it lies only if it was planned without adaptive execution, which the session does without meanwhile."""
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(int(conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key).persist(StorageLevel.DISK_ONLY)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 def levels(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(label, node, d): clicks from the nearest start of the label. edges(label, src, dst), starts(label, node)."""
-    edges = durable(edges.select("label", F.col("src").alias("node"), "dst"), "bfs-edges")
-    seen = [durable(starts.select("label", "node").distinct().withColumn("d", F.lit(0)), "bfs-level")]
-    while (depth := seen[-1].first()) is not None and (max_depth is None or depth["d"] < max_depth):
-        visited = reduce(DataFrame.unionByName, seen)
-        step = seen[-1].join(edges, ["label", "node"]).select("label", F.col("dst").alias("node")).distinct()
-        step = step.join(visited.select("label", "node"), ["label", "node"], "left_anti")
-        seen.append(durable(step.withColumn("d", F.lit(depth["d"] + 1)), "bfs-level"))
-        if len(seen) > MERGE_LEVELS:
-            seen = [durable(reduce(DataFrame.unionByName, seen[:-1]).coalesce(8), "bfs-visited"), seen[-1]]
+    """(label, node, d): clicks from the nearest start of the label. edges(label, src, dst), starts(label, node).
+
+    Edges without a label serve all labels, which ride with the starts. Edges are shuffled once for the whole search: they
+    lie dealt out by the node that a level comes from, so that a level moves its own rows only. Of visited nodes those of
+    all but the last MERGE_LEVELS levels lie in the same way.
+    """
+    own = ["label", "node"]
+    key = own if "label" in edges.columns else ["node"]
+    table = durable(edges.select(*(k for k in key if k == "label"), F.col("src").alias("node"), "dst").distinct(), "bfs-edges")
+    held, base = _held(table, *key), None
+    seen = [durable(starts.select(*own).distinct().withColumn("d", F.lit(0)), "bfs-level")]
+    recent, depth = [seen[0]], 0
+    while (max_depth is None or depth < max_depth) and not recent[-1].isEmpty():
+        depth += 1
+        step = recent[-1].join(held, key).select("label", F.col("dst").alias("node")).distinct()
+        if base is not None:
+            step = step.join(base, own, "left_anti")
+        step = step.join(reduce(DataFrame.unionByName, recent).select(*own), own, "left_anti")
+        recent.append(durable(step.withColumn("d", F.lit(depth)), "bfs-level"))
+        seen.append(recent[-1])
+        if len(recent) > MERGE_LEVELS:
+            merged = durable(reduce(DataFrame.unionByName, seen[:-1]), "bfs-visited")
+            for gone in seen[:-1]:
+                drop(gone)
+            if base is not None:
+                base.unpersist()
+            seen, recent, base = [merged, seen[-1]], [seen[-1]], _held(merged.select(*own), *own)
+    held.unpersist()
+    if base is not None:
+        base.unpersist()
+    drop(table)
     return reduce(DataFrame.unionByName, seen)
 
 
@@ -120,9 +155,7 @@ def win_type_distances(graph: Graph) -> DataFrame:
     """(label, node, d): to each win type, each class that is no win, and any win, over all links, in one search."""
     kinds = F.array_compact(F.array(F.when(F.col("win"), F.lit("(any)")), F.when(F.col("win"), F.col("win_type")), F.when(~F.col("win"), F.col("conversion_class"))))
     targets = graph.nodes.select(F.explode(F.array_distinct(kinds)).alias("label"), F.col("url").alias("node"))
-    names = targets.select("label").distinct()
-    edges = reverse(mode_view(graph, ALL_LINKS)).crossJoin(F.broadcast(names))  # names: a handful of configured types
-    return levels(edges, targets)
+    return levels(reverse(mode_view(graph, ALL_LINKS)), targets)
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, stops: DataFrame) -> DataFrame:
@@ -281,6 +314,28 @@ def convergence(paths: DataFrame) -> DataFrame:
     return left.join(right, ["label", "i", "j"]).filter("a < b").select("label", "a", "b", F.array_sort(common).alias("common"), F.bround(share, 3).alias("jaccard"))
 
 
+def meetings(paths: DataFrame) -> DataFrame:
+    """(label, start, meets, jaccard, nearest) of the paths(label, start, path) of shortest_paths(): how many other starts' paths share a
+    node with it, the greatest share of nodes that it has in common with one, and that one, of equal ones the least.
+
+    Each node of such paths leads on to one node alone. So two paths that meet go on together to the same end, and paths meet
+    just if they end alike: a count for each end. From a node on, a path of n nodes shares the rest of r nodes with all that come
+    through, and the share r / (n + m - r) is greatest for the shortest one, of m nodes: so two starts for each node are enough.
+    """
+    n = F.size("path").alias("n")
+    ends = paths.groupBy("label", F.element_at("path", -1).alias("end")).agg((F.count("*") - 1).alias("meets"))
+    along = paths.select("label", "start", n, F.posexplode("path").alias("at", "node"))
+    two = along.groupBy("label", "node").agg(F.min(F.struct("n", "start")).alias("first"))
+    other = along.join(two, ["label", "node"]).filter("start <> first.start").groupBy("label", "node").agg(F.min(F.struct("n", "start")).alias("second"))
+    near = along.join(two, ["label", "node"]).join(other, ["label", "node"])
+    of = F.when(F.col("first.start") == F.col("start"), F.col("second")).otherwise(F.col("first"))
+    rest = F.col("n") - F.col("at")
+    met = near.select("label", "start", of.alias("of"), rest.alias("rest"), "n").withColumn("share", F.col("rest") / (F.col("n") + F.col("of.n") - F.col("rest")))
+    best = met.groupBy("label", "start").agg(F.min(F.struct((-F.col("share")).alias("share"), F.col("of.start").alias("nearest"))).alias("b"))
+    joined = paths.select("label", "start", F.element_at("path", -1).alias("end")).join(ends, ["label", "end"]).join(best, ["label", "start"], "left")
+    return joined.select("label", "start", "meets", (-F.col("b.share")).alias("jaccard"), F.col("b.nearest").alias("nearest"))
+
+
 def in_degrees(graph: Graph) -> DataFrame:
     return graph.edges.groupBy(F.col("dst").alias("url")).agg(F.count("*").alias("in_degree"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weftgraph.plans import graph_queries, page_oracles, page_queries, saved_queries, store_queries
+from weftgraph.plans import graph_queries, markup_queries, page_oracles, page_queries, saved_queries, store_queries
 
-_PARTS = ((graph_queries.QUERIES, graph_queries.ORACLES), (page_queries.QUERIES, page_oracles.ORACLES), (store_queries.QUERIES, store_queries.ORACLES), (saved_queries.QUERIES, saved_queries.ORACLES))
+_PARTS = ((graph_queries.QUERIES, graph_queries.ORACLES), (page_queries.QUERIES, page_oracles.ORACLES), (store_queries.QUERIES, store_queries.ORACLES), (saved_queries.QUERIES, saved_queries.ORACLES), (markup_queries.QUERIES, markup_queries.ORACLES))
 
 
 def queries() -> dict:

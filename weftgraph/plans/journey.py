@@ -17,19 +17,19 @@ REGIONS = {"click": "body", "view": "external", "error": "footer", "signup": "he
 WIN_VALUE = 120
 
 
-def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, ord, node, event_type, value, next_node in the order of ts and event_id."""
+def steps(spark: SparkSession, sf_dir: str, groups: int | None = None) -> DataFrame:
+    """user_id, ord, node, event_type, value, next_node in the order of ts and event_id. groups: so many groups of users share their nodes."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("int") % PLACES
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    node = F.concat_ws(":", "user_id", k)
+    node = F.concat_ws(":", "user_id" if groups is None else (F.col("user_id") % groups).cast("string"), k)
     rows = events.select("user_id", "ts", "event_id", "event_type", "value", node.alias("node"))
     return rows.select("user_id", F.row_number().over(order).alias("ord"), "node", "event_type", "value", F.lead("node").over(order).alias("next_node"))
 
 
-def journey_graph(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
+def journey_graph(spark: SparkSession, sf_dir: str, groups: int | None = None) -> tuple[Graph, DataFrame]:
     """The graph and its entries(url)."""
-    rows = durable(steps(spark, sf_dir), "journey-steps")
+    rows = durable(steps(spark, sf_dir, groups), "journey-steps")
     pages = rows.groupBy(F.col("node").alias("url")).agg(
         F.bool_or((F.col("event_type") == "purchase") & (F.col("value") > WIN_VALUE)).alias("win"),
         F.bool_and(F.col("event_type") == "error").alias("errors"),
