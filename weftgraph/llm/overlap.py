@@ -237,13 +237,15 @@ def linked_rows(classes: DataFrame, docs: DataFrame, threshold: int) -> DataFram
     rows = full_sets(texts).join(members.select("v", "d1", "d2"), ["d1", "d2"])
     with releasing(docs.sparkSession):
         rows = durable(rows.groupBy("d1", "d2").agg(F.first("v").alias("v"), F.first("items").alias("items")).select("v", "items"), "overlap-rows")
-    links, comp = None, None
+    links, comp, later = None, None, False
     for _ in range(ROUNDS):
         leaders, pairs = leading(entries, threshold)
         found = durable(completed(pairs, rows, threshold), "overlap-links")
         links = found if links is None else links.unionByName(found)
-        if comp is None or not found.isEmpty():
+        if comp is None:
             comp = components(links)
+        else:  # what later rounds find is joined to components at their end
+            later = later or not found.isEmpty()
         # a lead row has met all rows of its column; of two linked rows that never met, all common columns are left, and all are mixed
         left = entries.drop("c").join(leaders.select("item", "p"), "item").filter("v <> p").join(comp, "v", "left")
         left = durable(left.select("item", "v", "n", F.coalesce("c", "v").alias("c"), "degree", F.coalesce("first", "p").alias("first")), "overlap-left")
@@ -254,8 +256,13 @@ def linked_rows(classes: DataFrame, docs: DataFrame, threshold: int) -> DataFram
         for gone in (before, left, leaders, pairs):
             drop(gone)
         if entries.isEmpty():
-            return comp
-    still = durable(entries.select(F.col("first").alias("p"), "v", "n", "c").distinct(), "overlap-open")
+            break
+    if later:
+        comp = components(links)
+    still = entries.select(F.col("first").alias("p"), "v", "n").distinct().join(comp, "v", "left")
+    still = durable(still.select("p", "v", "n", F.coalesce("c", "v").alias("c")), "overlap-open")
+    if still.isEmpty():
+        return comp
     cores = shared_sizes(rows.join(still.select("v").distinct(), "v", "left_semi"))
     left = still.join(cores, "v").filter(F.col("core") * 100 >= F.col("n") * threshold)
     left = durable(left, "overlap-members")
