@@ -67,7 +67,7 @@ def tags(store):
 
 def test_later_extractions_equal_new_ones(spark, tmp_path):
     rng, store = random.Random(1), Store(spark, f"file://{tmp_path}/store")
-    rows = {k: page(rng, k, notice=k < 2) for k in range(12)}
+    rows = {k: page(rng, k, notice=k < 2) for k in range(11)} | {11: ("https://s.test/short", "ok", "alpha", [], "two words")}
     change = save(spark, store, list(rows.values()))
     assert ex.extract(store, change, TAXONOMY, SETTINGS)["read"] == 12
     change.publish()

@@ -72,7 +72,7 @@ def page_runs(pages: DataFrame, window: int) -> DataFrame:
                 places: dict[bytes, list[int]] = {}
                 for k, run in enumerate(runs_of(words_of(body, headings), window)):
                     places.setdefault(run, []).append(k)
-                columns = [pa.array(list(places), pa.binary()), pa.array([url] * len(places)), pa.array(list(places.values()), pa.list_(pa.int32()))]
+                columns = [pa.array(list(places), pa.binary()), pa.array([url] * len(places), pa.string()), pa.array(list(places.values()), pa.list_(pa.int32()))]
                 yield pa.record_batch(columns, names=["run", "url", "places"])
 
     return pages.select("url", "headings", "body").mapInArrow(find, "run binary, url string, places array<int>")

@@ -171,8 +171,8 @@ _TERMS = [("Function", "Conjunction", ["and", "und"]), ("Function", "Article", [
 @_query(r"""WITH m AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id), d AS (SELECT d.doc_id, CASE WHEN toxic IS NOT NULL THEN 'and the ' ELSE '' END || d.text AS text, d.source FROM documents d LEFT JOIN m USING (doc_id)),
   w AS (SELECT doc_id, source, list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS w FROM d), k AS (SELECT *, list_transform(w, lambda t: regexp_replace(lower(t), '^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$', '', 'g')) AS key FROM w),
   grams AS (SELECT doc_id, i, array_to_string(key[i : i + 7], chr(31)) AS gram FROM (SELECT doc_id, key, unnest(range(1, len(key) - 6)) AS i FROM k WHERE len(key) >= 8)),
-  often AS (SELECT gram FROM grams GROUP BY gram HAVING count(DISTINCT doc_id) >= 3), gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 8)))) AS at FROM grams WHERE gram IN (SELECT gram FROM often) GROUP BY doc_id),
-  left_ AS (SELECT doc_id, source, list_filter(list_transform(w, lambda t, i: CASE WHEN list_contains(coalesce(at, []), i) THEN NULL ELSE lower(t) END), lambda t: t IS NOT NULL) AS w FROM k LEFT JOIN gone USING (doc_id)),
+  often AS (SELECT gram FROM grams GROUP BY gram HAVING count(DISTINCT doc_id) >= 3), gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 8)))) AS spots FROM grams WHERE gram IN (SELECT gram FROM often) GROUP BY doc_id),
+  left_ AS (SELECT doc_id, source, list_filter(list_transform(w, lambda t, i: CASE WHEN list_contains(coalesce(spots, []), i) THEN NULL ELSE lower(t) END), lambda t: t IS NOT NULL) AS w FROM k LEFT JOIN gone USING (doc_id)),
   words AS (SELECT doc_id, source, flatten(list_transform(w, lambda t: regexp_split_to_array(t, '[^\p{L}\p{N}_]+'))) AS w FROM left_),
   n AS (SELECT doc_id, [len(list_filter(w, lambda t: t IN ('and', 'und'))), len(list_filter(w, lambda t: t IN ('the', 'der', 'la', 'le'))), len(list_filter(w, lambda t: starts_with(t, 'ther') OR starts_with(t, 'tion')))] AS n FROM words),
   s AS (SELECT doc_id, unnest([('Function', 'Conjunction', n[1]), ('Function', 'Article', n[2]), ('Form', 'Stem', n[3])]) AS x FROM n)
