@@ -34,6 +34,7 @@ class Folder:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._hadoop_io = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._at("").getFileSystem(self._conf)
 
@@ -73,6 +74,19 @@ class Folder:
             raise
         return True
 
+    def append_all(self, names: list[str], target: str) -> None:
+        """The files' bytes, one after the other, as a new file anywhere on this file system; it appears when it is whole."""
+        there = self._hadoop.Path(target)
+        staged = self._hadoop.Path(f"{target}.staged-{uuid.uuid4().hex}")
+        out = self._fs.create(staged, False)
+        for name in names:
+            stream = self._fs.open(self._at(name))
+            self._hadoop_io.copyBytes(stream, out, self._conf, False)
+            stream.close()
+        out.close()
+        if not self._fs.rename(staged, there):
+            raise FileExistsError(target)
+
     def remove(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
 
