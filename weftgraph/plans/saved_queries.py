@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftgraph.functions import predicates as p, urls
-from weftgraph.operators import crawl_store as cs, graph as g, repairs, seeds
+from weftgraph.operators import crawl_store as cs, graph as g, repairs, seeds, sites
 from weftgraph.plans.journey import journey_graph
+from weftgraph.plans.page_oracles import _JOURNEY
 from weftgraph.plans.page_queries import _read
 from weftgraph.plans.store_queries import _GRAPH, _LINKS, _link_rows
 from weftgraph.sources.store import Store
@@ -197,3 +198,23 @@ def extracted_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     extraction.extract(store, change, _TERMS, settings)
     change.publish("second crawl")
     return store.table("page_entities")
+
+
+# ---- several sites
+
+
+@_query(_JOURNEY + """, pages AS (SELECT b.url, 'all_links' AS way, da.d FROM base b LEFT JOIN da ON node = url WHERE explored UNION ALL SELECT b.url, 'content_only', dc.d FROM base b LEFT JOIN dc ON node = url WHERE explored)
+SELECT 'site ' || (split_part(url, ':', 1)::INT % 3) AS site, way, count(*) AS pages, count(d) AS reached, quantile_disc(d, 0.5)::BIGINT AS p50, quantile_disc(d, 0.9)::BIGINT AS p90, max(d)::BIGINT AS deepest FROM pages GROUP BY 1, 2""")
+def sites_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journeys of three groups of users as three sites of their own, searched at once."""
+    graph, _ = journey_graph(spark, sf_dir)
+    none = spark.createDataFrame([], "url string, final_url string")
+    status = F.when(F.col("explored"), "ok").otherwise("skipped")
+    found = {}
+    for k in range(3):
+        mine = lambda c, k=k: F.substring_index(c, ":", 1).try_cast("int") % 3 == k
+        pages = graph.nodes.filter(mine("url")).select("url", status.alias("status"), "win")
+        links = graph.edges.filter(mine("src")).select("src", F.col("dst").alias("url"), F.explode("regions").alias("region"), F.lit(True).alias("in_scope"), F.lit(False).alias("operator"))
+        found[f"site {k}"] = sites.Site({"pages": pages, "links": links, "aliases": none}, f"{k}:home")
+    got = sites.comparison(found)["distances"].filter("way <> 'from_home'")
+    return got.select("site", "way", "pages", "reached", *(F.col(c).cast("long").alias(c) for c in ("p50", "p90", "deepest")))
