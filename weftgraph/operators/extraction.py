@@ -124,9 +124,9 @@ def extract(store: Store, change: Change, taxonomy: list[tuple[str, str, list[st
     fresh = before.get("print") != print_ or before.get("version") not in store.versions()
     headings = common_headings(now, settings.heading_pages)
     if fresh:
-        runs = durable(page_runs(now, settings.window), "extract-runs")
-        counts = durable(_counted(runs, 1), "extract-counts")
-        change.replace("run_counts", counts)
+        runs = page_runs(now, settings.window)  # made again wherever it is read: there is a row for each word
+        change.replace("run_counts", _counted(runs, 1))
+        counts = change.table("run_counts")
         again, gone = now, known.select("url").limit(0)
     else:
         changed = now.join(known, ["url", "digest"], "left_anti")
@@ -155,8 +155,9 @@ def extract(store: Store, change: Change, taxonomy: list[tuple[str, str, list[st
             own = now.select("url", F.explode("headings").alias("h")).select("url", urls.collapse(F.lower("h")).alias("heading"))
             also = also.unionByName(own.join(other, "heading", "left_semi").select("url"))
         again = durable(now.join(changed.select("url").unionByName(also).distinct(), "url", "left_semi"), "extract-again")
-        runs = durable(page_runs(again, settings.window), "extract-runs")
-    frequent = counts.join(runs.select("run").distinct(), "run", "left_semi").filter(F.col("pages") >= settings.window_pages).select("run")
+        runs = page_runs(again, settings.window)
+    common = counts.filter(F.col("pages") >= settings.window_pages).select("run")
+    frequent = durable(common if fresh else common.join(runs.select("run").distinct(), "run", "left_semi"), "extract-common")
     clean = durable(without_repeats(again, runs, frequent, headings, settings.window), "extract-clean")
     tags = durable(tag_entities(clean, taxonomy, settings.weights, settings.body_cap, settings.least_score), "extract-tags")
     if fresh:
