@@ -94,13 +94,17 @@ def unrewarded_pages(carriers: DataFrame, attribution: DataFrame, wins: DataFram
 
 def archetypes(carriers: DataFrame, attribution: DataFrame, wins: DataFrame, pattern: str) -> DataFrame:
     """(archetype, tags, pages, win_pages, leads): tags by the named part of their name; a share counts for each of its
-    tags in equal parts."""
+    tags in equal parts. Equal parts are counted before they are added, and added as decimals, so that the whole number of a sum
+    doesn't depend on the order of millions of fractions."""
     kind = archetype_of(F.col("tag"), pattern)
     rows = carriers.withColumn("archetype", kind).filter("archetype is not null").select("archetype", "tag", "src", F.explode_outer("targets").alias("url"))
     win = rows.join(wins.select("url", F.lit(True).alias("is_win")), "url", "left")
     counts = win.groupBy("archetype").agg(F.countDistinct("tag").alias("tags"), F.countDistinct("src").alias("pages"), F.countDistinct(F.when(F.col("is_win"), F.col("src"))).alias("win_pages"))
-    parts = attribution.select((F.col("share") / F.size("tags")).alias("part"), F.explode("tags").alias("tag")).withColumn("archetype", kind)
-    sums = parts.groupBy("archetype").agg(F.floor(F.round(F.sum("part"), 6) + 1e-9).alias("leads"))
+    whole = (F.col("tag_leads_total").alias("of"), (F.col("tag_source_pages") * F.size("tags")).alias("among"))
+    parts = attribution.select("lead_tag", *whole, F.explode("tags").alias("tag")).withColumn("archetype", kind)
+    equal = parts.groupBy("archetype", "lead_tag", "of", "among").agg(F.count("*").alias("n"))
+    part = (F.col("of") * F.col("n") / F.col("among")).cast("decimal(28,9)")
+    sums = equal.groupBy("archetype").agg(F.floor(F.round(F.sum(part), 6)).cast("long").alias("leads"))
     return counts.join(sums, "archetype", "left").fillna(0, ["leads"])
 
 
