@@ -19,16 +19,17 @@ def _starts(entries: DataFrame) -> DataFrame:
 
 def dead_clicks(graph: g.Graph, entries: DataFrame, views: DataFrame | None = None, zones: DataFrame | None = None) -> DataFrame:
     """(label, start, clicks): how near to each entry the next page lies from which no win can be reached."""
-    views, starts = g.labelled_views(graph) if views is None else views, _starts(entries)
+    views, starts = durable(g.labelled_views(graph), "analysis-views") if views is None else views, _starts(entries)
     if zones is None:
-        zones = g.dead_zones(graph, views, g.distances_to_win(graph), starts.withColumnRenamed("start", "node"))
+        zones = g.dead_zones(graph, views, None, starts.withColumnRenamed("start", "node"))
     stops = zones.filter("state = 'dead end'").select("label", "node")
     return g.shortest_paths(views, starts, stops).select("label", "start", (F.size("path") - 1).alias("clicks"))
 
 
 def analyze(graph: g.Graph, entries: DataFrame) -> dict[str, DataFrame]:
     """All tables of an analysis: distances and zones by mode, paths of the entries, wins and what the operator added."""
-    views, starts, distances = g.labelled_views(graph), _starts(entries), g.distances_to_win(graph)
+    views, starts = durable(g.labelled_views(graph), "analysis-views"), _starts(entries)
+    distances = g.distances_to_win(graph, views=views)
     stops = g.wins(graph).select(F.explode(F.array(*map(F.lit, MODES))).alias("label"), F.col("url").alias("node"))
     zones = durable(g.dead_zones(graph, views, distances, starts.withColumnRenamed("start", "node")), "analysis-zones")
     marked = F.col("win_source") == "operator" if "win_source" in graph.nodes.columns else F.lit(False)
