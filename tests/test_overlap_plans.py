@@ -26,3 +26,17 @@ def test_convergence_of_shared_nodes(spark):
             if a < b:
                 expected[a, b] = (sorted(set(x) & set(y)), round(len(set(x) & set(y)) / len(set(x) | set(y)), 3))
     assert len(found) == len(expected) and {(r["a"], r["b"]): (r["common"], r["jaccard"]) for r in found} == expected
+
+
+def test_pairs_are_dealt_to_tasks_and_made_once(spark, monkeypatch):
+    monkeypatch.setattr(g, "PAIR_STARTS", 2)
+    names = [f"s{k}" for k in range(60)]
+    paths = [("m", s, [s, f"x{k % 7}", "w"] if k % 3 else [s, f"only{k}"]) for k, s in enumerate(names)] + [("other", "s1", ["s1", "x1"])]
+    pairs = g.convergence(spark.createDataFrame(paths, "label string, start string, path array<string>"))
+    assert pairs.rdd.glom().map(len).filter(lambda n: n > 0).count() > 1  # small as they are, one task doesn't make them all
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    of = {a: set(p) for label, a, p in paths if label == "m"}
+    expected = {(a, b): (sorted(of[a] & of[b]), round(len(of[a] & of[b]) / len(of[a] | of[b]), 3)) for a in names for b in names if a < b}
+    found = pairs.collect()
+    assert len(found) == len(expected) and {(r["a"], r["b"]): (r["common"], r["jaccard"]) for r in found} == expected
