@@ -32,8 +32,7 @@ class SeedPlan:
 
 
 def _text(name: str) -> Column:
-    given = urls.strip(F.coalesce(F.col(name), F.lit("")))
-    return F.when(given != "", given)
+    return urls.once(urls.strip(F.coalesce(F.col(name), F.lit(""))), lambda given: F.when(given != "", given))
 
 
 def _normal(rows: DataFrame, column: str, scope: p.Scope) -> DataFrame:
@@ -42,6 +41,13 @@ def _normal(rows: DataFrame, column: str, scope: p.Scope) -> DataFrame:
     return rows.join(spelled.withColumn("target", urls.normalize_url(F.col(column), stripped=scope.strip_query_params)), column, "left")
 
 
+def _tagged(rows: DataFrame, column: str, name: str, scope: p.Scope) -> DataFrame:
+    """rows with `name`, the captured parameters of the column; Python runs once for each spelling with a query."""
+    spelled = rows.select(column).filter(F.col(column).contains("?")).distinct()
+    spelled = durable(spelled.withColumn(name, urls.captured_params(F.col(column), scope.capture_params)), "seed-params")
+    return rows.join(spelled, column, "left").withColumn(name, F.coalesce(name, F.create_map().cast("map<string,string>")))
+
+
 def plan(rows: DataFrame, scope: p.Scope, known: DataFrame, entries: DataFrame, dead: DataFrame, win: p.Win | None = None) -> SeedPlan:
     """What becomes of rows(id, and the columns of a seed file), id being the row's place in the file.
 
@@ -62,11 +68,10 @@ def plan(rows: DataFrame, scope: p.Scope, known: DataFrame, entries: DataFrame,
     inside = F.coalesce(scope.holds(F.col("target")), F.lit(False))
     kind = F.when(F.col("goes").isNull(), "none").when(post, "seed").when(inside, "page").otherwise("offsite")
     raw, resolved = F.col("outbound_url_raw"), F.col("outbound_resolved_url")
+    once = _tagged(_tagged(durable(once, "seed-once"), "outbound_url_raw", "of_raw", scope), "outbound_resolved_url", "of_resolved", scope)
     links = once.withColumn("kind", kind).withColumns({
         "target": F.when(F.col("kind") == "seed", urls.seed_url(F.col("goes"))).otherwise(F.col("target")),
         "in_scope": F.col("kind") == "page",
-        "of_raw": urls.captured_params(raw, scope.capture_params),
-        "of_resolved": urls.captured_params(resolved, scope.capture_params),
     })
     params = F.map_concat(F.map_filter("of_raw", lambda k, _: ~F.array_contains(F.map_keys("of_resolved"), k)), F.col("of_resolved"))
     first = scope.capture_params[:1]
