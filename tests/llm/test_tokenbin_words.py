@@ -44,3 +44,11 @@ def test_words_move_from_the_old_half(path, monkeypatch):
     for _ in range(60):
         texts = [" ".join(rng.choices(["one", "two,", "да", "a\n", "b\t1"] + [f"w{k}" for k in range(60)], k=12)) for _ in range(3)]
         assert ids_of(coder, texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_marks_after_letters_are_another_piece(path):
+    coder, plain, rng = tokenbin.Encoder(path), Tokenizer.from_file(path), random.Random(5)
+    words = ["".join(rng.choices("abcdéя", k=7)) for _ in range(300)]
+    texts = [" ".join(f"{w}{rng.choice(['', '.', ',', '?!', chr(39), '...', '_)'])}" for w in rng.choices(words, k=90)) for _ in range(40)]
+    assert ids_of(coder, texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert coder.marks_apart and len(coder.young) <= len(words)  # each was learnt with every mark

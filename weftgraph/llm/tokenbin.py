@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
 import zlib
 from array import array
@@ -53,6 +54,8 @@ _WHITE = " \t\n\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2
 _ACROSS = f"[{_WHITE}] "
 #: Letters in every version of Unicode that a tokenizer may know; the byte-level pattern takes a word of them as one piece.
 _LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u0220\u0400-\u0481]+$"
+#: Marks that are one piece of the byte-level pattern where they follow letters and a space or the end follows them.
+_MARKS = string.punctuation
 
 
 def _runs(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -90,6 +93,7 @@ class Encoder:
 
     New words are encoded JOINED at a time, with a space before each; an id that begins with a space begins a word. Words
     of letters alone are one piece of the pattern each, so they are cut at the spaces without it.
+    Marks after the letters of a word are another piece: letters are looked up without them, so a word is learnt once.
     Words are remembered in two halves: what is met again moves to the young half, and when that is full the old half is
     forgotten, so words met once do not drive out those met often.
     """
@@ -107,6 +111,8 @@ class Encoder:
         self.whole = "|".join([_ACROSS, *map(re.escape, self.added)])
         self.opens = np.zeros(self.base, bool)  # ids of tokens that begin with a space
         self.opens[[k for token, k in self.tokenizer.get_vocab().items() if token.startswith(_SPACE)]] = True
+        pieces = [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(f" a{_MARKS}")]
+        self.marks_apart = pieces == [f"{_SPACE}a", _MARKS]
         self.young, self.old = Known(), Known()
 
     @classmethod
@@ -157,6 +163,32 @@ class Encoder:
                     young.add(found, *(self._spaced(found, tokenizer) if tokenizer else self._apart(found)))
         return place
 
+    def _coded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, each with a space before it, one after the other; and how many each has."""
+        bare = pc.utf8_rtrim(words, _MARKS)
+        long, short = (np.asarray(pc.binary_length(x)).astype(np.int64) for x in (words, bare))
+        marked = np.flatnonzero((short < long) & np.asarray(pc.match_substring_regex(bare, _LETTERS))) if self.marks_apart else short[:0]
+        if not len(marked):
+            place = self._learn(words)
+            return _runs(self.young.ids, self.young.begin[place], self.young.size[place]), self.young.size[place]
+        cut = np.zeros(len(words), bool)
+        cut[marked] = True
+        coded = pc.if_else(pa.array(cut), bare, words).dictionary_encode()
+        place = self._learn(coded.dictionary)[np.asarray(coded.indices)]
+        whole = words.take(pa.array(marked))
+        ends, values = (np.frombuffer(x, kind) for x, kind in zip(whole.buffers()[1:], (np.int64, np.uint8), strict=True))
+        size = (long - short)[marked]
+        tails = _runs(values, ends[: len(marked)] + short[marked], size).tobytes()
+        tails = pa.Array.from_buffers(pa.large_string(), len(marked), [None, pa.py_buffer(np.r_[0, np.cumsum(size)]), pa.py_buffer(tails)]).dictionary_encode()
+        found = self._ids(tails.dictionary.to_pylist())  # a few marks
+        of = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.r_[self.young.ids, np.frombuffer(b"".join(found), "<u4")]
+        begin, n = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)  # of letters, of marks
+        begin[:, 0], n[:, 0] = self.young.begin[place], self.young.size[place]
+        which = np.asarray(tails.indices)
+        begin[marked, 1], n[marked, 1] = (len(self.young.ids) + np.cumsum(of) - of)[which], of[which]
+        return _runs(flat, begin.ravel(), n.ravel()), n.sum(1)
+
     def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian u32, without the end id."""
         rows = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
@@ -173,11 +205,12 @@ class Encoder:
         words, code = coded.dictionary, np.asarray(coded.indices)
         # a text's first word has no space before it
         heads = self._ids(words.take(pa.array(code[bounds[:-1]])).to_pylist())
-        place = self._learn(words)[code]
-        place[bounds[:-1]] = len(self.young) + np.arange(len(heads))
-        size = np.r_[self.young.size, np.fromiter(map(len, heads), np.int64, len(heads)) // 4]
-        begin = np.r_[self.young.begin, len(self.young.ids) + np.cumsum(size[len(self.young) :]) - size[len(self.young) :]]
-        flat, n = np.r_[self.young.ids, np.frombuffer(b"".join(heads), "<u4")], size[place]
+        ids, size = self._coded(words)
+        place = code.astype(np.int64)
+        place[bounds[:-1]] = len(words) + np.arange(len(heads))
+        size = np.r_[size, np.fromiter(map(len, heads), np.int64, len(heads)) // 4]
+        begin = np.cumsum(size) - size
+        flat, n = np.r_[ids, np.frombuffer(b"".join(heads), "<u4")], size[place]
         joined = _runs(flat, begin[place], n).tobytes()
         ends = np.r_[0, np.cumsum(n)][bounds] * 4
         for k, x, y in zip(cut.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
