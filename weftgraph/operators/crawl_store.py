@@ -10,7 +10,7 @@ from weftgraph.operators.frontier import enqueue
 from weftgraph.operators.numbering import numbered
 from weftgraph.sources.store import Change, Snapshot
 from weftgraph.sources.tables import completed
-from weftgraph.storage import durable
+from weftgraph.storage import drop, durable
 
 # ---- facts
 
@@ -56,7 +56,7 @@ def save_crawled(change: Change, pages: DataFrame, links: DataFrame, *order: str
     first = next_number(change.table("links"), "id")
     fresh = links.join(own, "src", "left_semi").withColumn("operator", F.coalesce("operator", F.lit(False)))
     change.exchange("links", own, ["src"], numbered(fresh, "id", "src", *order, start=first), ~F.coalesce("operator", F.lit(False)))
-    change.upsert("pages", pages, ["url"])
+    change.exchange("pages", own.select(F.col("src").alias("url")), ["url"], pages)
     names = F.array_compact(F.concat(F.array("url", "requested_url"), F.coalesce("redirect_chain", F.array().cast("array<string>"))))
     spelled = pages.select(F.explode(names).alias("name"), "url")
     change.merge("aliases", spelled.groupBy(F.col("name").alias("url")).agg(F.max("url").alias("final_url")), ["url"])
@@ -64,6 +64,7 @@ def save_crawled(change: Change, pages: DataFrame, links: DataFrame, *order: str
         change.upsert("page_tags", tags.join(pages.select("url"), "url", "left_semi"), ["url"])
     asked = pages.select("url") if visited is None else pages.select("url").unionByName(visited.select("url"))
     mark_queue(change, asked, "done")
+    drop(pages)
 
 
 def mark_queue(change: Change, items: DataFrame, state: str) -> None:

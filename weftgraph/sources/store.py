@@ -19,7 +19,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weftgraph.sources.tables import SCHEMAS, completed, schema
-from weftgraph.storage import durable
+from weftgraph.storage import drop, durable, releasing
 
 VERSIONS = "versions"
 
@@ -175,6 +175,7 @@ class Change(Snapshot):
         """rows, which hold each key once, in place of the rows with their keys."""
         rows = durable(completed(rows, name), f"store-{name}")
         self.exchange(name, rows.select(keys), keys, rows)
+        drop(rows)
 
     def merge(self, name: str, rows: DataFrame, keys: list[str]) -> None:
         """The same, but rows that are in the table as they are touch no file."""
@@ -204,7 +205,8 @@ class Change(Snapshot):
 
     def _stage(self, name: str, rows: DataFrame) -> list[str]:
         part = f"{name}/{uuid.uuid4().hex}"
-        completed(rows, name).write.option("compression", "zstd").parquet(f"{self.folder.path}/{part}")
+        with releasing(self.folder.spark):
+            completed(rows, name).write.option("compression", "zstd").parquet(f"{self.folder.path}/{part}")
         return [f"{part}/{f}" for f in self.folder.names(part) if f.endswith(".parquet")]
 
     def publish(self, note: str = "") -> int:
