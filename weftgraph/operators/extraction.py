@@ -163,7 +163,7 @@ def extract(store: Store, change: Change, taxonomy: list[tuple[str, str, list[st
         counted = places.groupBy("run").agg(F.count("*").alias("pages")).filter(F.col("pages") >= settings.window_pages)
         frequent = durable(counted.select("run"), "extract-common")
     if fresh:
-        again, gone = now, known.select("url").limit(0)
+        again, gone, held = now, known.select("url").limit(0), places
         change.replace("common_runs", frequent)
         if change.files("run_counts"):  # of a store that kept all runs
             change.replace("run_counts", change.table("run_counts").limit(0))
@@ -183,11 +183,12 @@ def extract(store: Store, change: Change, taxonomy: list[tuple[str, str, list[st
                 touched = touched.unionByName(own.join(other, "heading", "left_semi").select("url"))
             touched = durable(touched.distinct(), "extract-touched")
             again = durable(now.join(touched, "url", "left_semi"), "extract-again")
-            places = places.join(touched, "url", "left_semi")
+            held = places.join(touched, "url", "left_semi")
         if not (risen.isEmpty() and fallen.isEmpty()):
             change.exchange("common_runs", fallen, ["run"], risen)
     with releasing(spark):
-        clean = durable(without_repeats(again, places, frequent, headings, settings.window), "extract-clean")
+        clean = durable(without_repeats(again, held, frequent, headings, settings.window), "extract-clean")
+    drop(places)
     tags = durable(tag_entities(clean, taxonomy, settings.weights, settings.body_cap, settings.least_score), "extract-tags")
     dropped = clean.agg(F.coalesce(F.sum("dropped_words"), F.lit(0))).first()[0]
     drop(clean)
